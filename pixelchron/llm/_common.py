@@ -98,3 +98,22 @@ def running(runs: DataFrame, value: str, out: str, group: str | None = None) ->
     """
     w = Window.partitionBy("_pid").orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
     return runs.join(F.broadcast(before_runs(runs, [value])), "_pid").withColumn(out, F.sum(value).over(w) + F.col(f"_b_{value}")).drop(f"_b_{value}")
+
+
+class Known(dict):
+    """What make gave for a key, for at most twice ``limit`` keys: a full generation becomes the old one, and what is asked of it returns."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 256:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value

@@ -32,8 +32,36 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import apply_rules
+
+    return apply_rules(_read(spark, sf_dir, "documents")).drop("failed_rule")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify_quality
+
+    return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from .token_files import read_token_files, write_token_files
+
+    return read_token_files(write_token_files(_read(spark, sf_dir, "documents"), path("word_bpe_49k.json")))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from .bpe import encode_documents, token_digests
+
+    return token_digests(encode_documents(_read(spark, sf_dir, "documents"), path("byte_bpe_50k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op5_mixing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_quality_rules, op5_mixing, op7_quality_classifier, op9_token_files, op10_bpe)}
 
 
 ORACLES: dict[str, str] = {}
@@ -77,3 +105,31 @@ WITH RECURSIVE d AS (
 SELECT c.doc_id, c.size::BIGINT AS size, c.total AS source_size, c.target, coalesce(v.taken, 0)::BIGINT AS taken
 FROM c LEFT JOIN v ON c.doc_id = v.doc_id
 """
+
+ORACLES["op4_quality_rules"] = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+         string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), c AS (
+  SELECT *, len(w) AS nw, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS wc,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS ns, length(regexp_replace(t, '[^!]', '', 'g')) AS bangs,
+         length(regexp_replace(t, '[^\\p{Lu}]', '', 'g')) AS capitals, length(regexp_replace(t, '\\P{L}', '', 'g')) AS letters,
+         list_filter(ls, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS full_ls, len(list_distinct(w)) AS kinds
+  FROM t
+), win AS (
+  SELECT doc_id, i, list_slice(w, i, i + 4) AS g FROM (SELECT doc_id, w, unnest(range(1, nw - 3)) AS i FROM c)
+), rep AS (
+  SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), cov AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM rep) GROUP BY doc_id
+), f AS (
+  SELECT c.*, coalesce(cov.n, 0) AS nr FROM c LEFT JOIN cov USING (doc_id)
+)
+SELECT doc_id, nw::BIGINT AS n_words, wc::BIGINT AS word_chars, ns::BIGINT AS n_symbols,
+       (len(full_ls) - len(list_distinct(full_ls)))::BIGINT AS n_dup_lines, nr::BIGINT AS n_repeat_words,
+       nw < 10 OR 100 * nr > 20 * nw AS base_failed,
+       NOT (nw < 10 OR 100 * nr > 20 * nw OR 10 * ns > 3 * nw OR 10 * bangs > 5 * nw OR 2 * capitals > letters OR 2 * letters < wc
+            OR (nw >= 50 AND 10 * kinds < nw AND kinds < 40)
+            OR (len(ls) >= 5 AND 2 * len(list_distinct(ls)) < len(ls))) AS kept
+FROM f
+"""
