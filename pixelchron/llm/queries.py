@@ -38,6 +38,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(_read(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), 85)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import classify_quality
 
@@ -61,7 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_quality_rules, op5_mixing, op7_quality_classifier, op9_token_files, op10_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_quality_rules, op5_mixing, op6_minhash_near_dedup, op7_quality_classifier, op9_token_files, op10_bpe)}
 
 
 ORACLES: dict[str, str] = {}
@@ -133,3 +139,35 @@ SELECT doc_id, nw::BIGINT AS n_words, wc::BIGINT AS word_chars, ns::BIGINT AS n_
             OR (len(ls) >= 5 AND 2 * len(list_distinct(ls)) < len(ls))) AS kept
 FROM f
 """
+
+ORACLES["op6_minhash_near_dedup"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN w ELSE list_slice(w, i, i + 4) END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), sets AS (
+  SELECT doc_id, md5(string_agg(h, '' ORDER BY h)) AS c, count(*) AS n FROM (SELECT doc_id, md5(array_to_string(g, ' ')) AS h FROM s) GROUP BY doc_id
+), cls AS (
+  SELECT c, min(doc_id) AS rep, any_value(n) AS n FROM sets GROUP BY c
+), rs AS (
+  SELECT s.doc_id, s.g FROM s JOIN cls ON s.doc_id = cls.rep
+), inter AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM rs a JOIN rs b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM inter JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 85 * (nx.n + ny.n - i)
+), e AS (
+  SELECT x AS u, y AS v FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT rep AS u, rep AS r FROM cls UNION SELECT e.v, reach.r FROM reach JOIN e ON e.u = reach.u WHERE reach.r < e.v
+), root AS (
+  SELECT u, min(r) AS r FROM reach GROUP BY u
+), comp AS (
+  SELECT sets.doc_id, root.r FROM sets JOIN cls USING (c) JOIN root ON root.u = cls.rep
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(comp.r, d.doc_id) AS component_id, coalesce(comp.r, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
+"""
