@@ -50,6 +50,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -67,7 +73,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_quality_rules, op5_mixing, op6_minhash_near_dedup, op7_quality_classifier, op9_token_files, op10_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_quality_rules, op5_mixing, op6_minhash_near_dedup, op7_quality_classifier, op8_lm_scoring, op9_token_files, op10_bpe)}
 
 
 ORACLES: dict[str, str] = {}
