@@ -1,3 +1,92 @@
-STAGES = []
+"""A corpus pipeline: quality classifier, exact deduplication, near deduplication, mixing, token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; ``run`` writes each result as Parquet and
+reads it for the next. All but the last return the columns of docs. Rows are told apart by id and text digest, so null and
+repeated ids do no harm; of rows that agree in both, mixing repeats all as it repeats one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixelchron.llm._common import Scratch, whole
+from pixelchron.llm.bpe import encode_documents, token_digests
+from pixelchron.llm.exact_dedup import drop_copies
+from pixelchron.llm.mixing import mix
+from pixelchron.llm.near_dedup import near_duplicates
+from pixelchron.llm.quality_classifier import keep_quality
+
+_stale: list[Scratch] = []
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Drops the scratch tables of the stage before, whose result is written by now."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _stale:
+            _stale.pop().drop()
+        mark = len(Scratch._open)
+        out = f(spark, docs, sf_dir)
+        _stale.extend(Scratch._open[mark:])
+        del Scratch._open[mark:]
+        return out
+
+    return run_stage
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_key", F.sha2(whole("text").cast("binary"), 256))
+
+
+@_stage
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier rejects."""
+    return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@_stage
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of texts equal but for white space."""
+    return drop_copies(docs)
+
+
+@_stage
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group linked by a similarity of 0.8 or more; it is the one with the smallest id."""
+    rows = _keyed(docs)
+    gone = near_duplicates(rows, 80, key_col="_key").filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("_key").alias("_gone_key")).distinct()
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti").select(*docs.columns)
+
+
+@_stage
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as the mix does: not at all, once or twice."""
+    rows = _keyed(docs)
+    times = mix(rows, key_col="_key").filter("times > 0").groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_taken_key")).agg(F.max("times").alias("_times"))
+    taken = rows.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_taken_key")))
+    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+
+
+@_stage
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes the mixed documents and decodes them again: doc_id, n_tokens and digests of ids and text."""
+    from public_tokenizers import path
+
+    return token_digests(encode_documents(docs, path("byte_bpe_50k.json")))
+
+
+STAGES = [("quality_classifier", quality), ("exact_dedup", exact), ("minhash_near_dedup", near), ("mixing", mixed), ("bpe", token_ids)]
+
+#: The quality classifier isn't SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table of sf_dir."""
+    docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = tables.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

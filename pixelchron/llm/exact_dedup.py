@@ -58,9 +58,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that exact_dedup keeps, with all their columns and in their schema."""
+    """The rows of df that exact_dedup keeps, with all their columns and in their schema.
+
+    Rows are told apart by id and a digest of the normalised text, so a null or repeated id drops no row of another text.
+    """
     names = [f"c{i}" for i in range(len(df.columns))]
-    plain = df.toDF(*names)
     at = dict(zip(df.columns, names, strict=False))
-    dropped = exact_dedup(plain, at[id_col], at[text_col]).filter("not kept").select(F.col(at[id_col]).alias("_gone")).distinct()
-    return plain.join(dropped, F.col(at[id_col]).eqNullSafe(F.col("_gone")), "left_anti").toDF(*df.columns)
+    plain = df.toDF(*names).withColumn("_key", F.sha2(normalised(at[text_col]).cast("binary"), 256))
+    dropped = exact_dedup(plain, at[id_col], at[text_col], ["_key"]).filter("not kept").select(F.col(at[id_col]).alias("_gone"), F.col("_key").alias("_gone_key")).distinct()
+    kept = plain.join(dropped, F.col(at[id_col]).eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
+    return kept.drop("_key").toDF(*df.columns)

@@ -31,21 +31,22 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return t.withColumn("_target", F.when(level.isNull(), F.col("_ceiling")).otherwise(F.least(F.col("_ceiling"), level * F.col("_w")))).select("_source", "_total", "_target")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: str = "mix-1", broadcast_sources: int = 10_000) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: str = "mix-1", key_col: str | None = None, broadcast_sources: int = 10_000) -> DataFrame:
     """How often the mix takes each row: id, size (words), source_size, target (of its source), times, taken (words).
 
     Each source is shuffled by the MD5 of seed and id, and may be gone through ``most`` times. A document's virtual finish
     time is the words of its source up to and with it, over the source's target. All documents and repeats are range-sorted by finish time and
     the sorted stream is cut where the total budget, the sum of targets, is used up, so each source gets its target
     to within a document. Null text has size 0; a row of size 0 is never taken. Null is a source like others. Rows that
-    repeat an id and size are interchangeable. The result depends on the rows alone, not on partitions.
+    repeat an id and size are interchangeable. key_col, if given, is carried along. The result depends on the rows alone, not on partitions.
 
     Running totals within the sources and in the stream are those of range-partitioned runs, so no source, however
     large, meets in one task. The source table is broadcast only up to broadcast_sources rows.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "mix")
-    base = scratch.table(df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(whole(text_col)).alias("_size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("_key")), "base")
+    extra = [F.col(key_col).alias("_extra")] if key_col else []
+    base = scratch.table(df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(whole(text_col)).alias("_size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("_key"), *extra), "base")
     targets = scratch.table(source_targets(base.groupBy("_source").agg(F.sum("_size").alias("_total")), weights, share, most), "targets")
     n = targets.count()
     # What the sources before one hold, to get from totals over the sorted stream to totals within a source.
@@ -54,7 +55,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     runs = sorted_runs(base.withColumns({"_known": F.coalesce(F.col("_source"), F.lit("")), "_null": F.col("_source").isNull()}).drop("_source"), ["_null", "_known", "_key", "_id", "_size"], scratch, "by_source")
     rows = running(runs, "_size", "_upto").join(F.broadcast(small) if n <= broadcast_sources else small, ["_null", "_known"])
     rows = rows.withColumn("_cum", F.col("_upto") - F.col("_ahead"))
-    rows = scratch.table(rows.select("_id", "_size", "_total", "_target", "_cum", "_key", "_null", "_known"), "rows")
+    rows = scratch.table(rows.select("_id", "_size", "_total", "_target", "_cum", "_key", "_null", "_known", *(["_extra"] if key_col else [])), "rows")
     finish = F.when(F.col("_target") > 0, (F.col("_cum") + F.col("_pass") * F.col("_total")).cast("double") / F.col("_target"))
     stream = rows.filter("_size > 0").withColumn("_pass", F.explode(F.array(*(F.lit(k) for k in range(most))))).withColumn("_finish", finish)
     order = ["_finish", "_null", "_known", "_key", "_id", "_size"]
@@ -77,4 +78,4 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         for k in range(most):
             f = F.when(F.col("_target") > 0, (F.col("_cum") + k * F.col("_total")).cast("double") / F.col("_target"))
             times = times + F.when((F.col("_size") > 0) & (F.struct(f.alias("_finish"), *order[1:]) <= limit), 1).otherwise(0)
-    return rows.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), times.cast("int").alias("times"), (times * F.col("_size")).cast("long").alias("taken"))
+    return rows.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), times.cast("int").alias("times"), (times * F.col("_size")).cast("long").alias("taken"), *([F.col("_extra").alias(key_col)] if key_col else []))

@@ -156,12 +156,12 @@ def delta_pairs(star: DataFrame, percent: int, last: bool) -> DataFrame:
     return found.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, key_col: str | None = None) -> DataFrame:
     """Per row: id, n_shingles, component_id, kept. Links: Jaccard similarity of five-word shingle sets of percent or more.
 
     Only A-Z are lower-cased; words are separated by ASCII white space. Fewer than five words are one shingle; a text without words, or null, has an
     empty set and is linked with nothing. component_id is the smallest id reachable over links, kept says that it is the row's
-    own. Null ids are never smallest unless alone; rows that repeat an id are judged by their own texts. Other columns of df aren't read.
+    own. Null ids are never smallest unless alone; rows that repeat an id are judged by their own texts. key_col, a string column, is carried along if given. Other columns of df aren't read.
 
     Rows of equal sets are one class from the start, however many, and need no link between them. Candidates are classes that share a band:
     at 32 bands of 5 a pair of similarity 0.8 is missed with probability 3e-6, one of 0.85 with 7e-9. A bucket of up to SMALL classes gives all its
@@ -179,7 +179,7 @@ def near_duplicates(df: DataFrame, percent: int = 80, id_col: str = "doc_id", te
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = [signer.shingles(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([signer.keys(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], ["id", "n", "cls", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([signer.keys(s) if len(s) else None for s in sets], pa.list_(pa.int64())), *part.columns[2:]], ["id", "n", "cls", "keys", "extra"][: part.num_columns + 2])
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = _signer(bands, rows)
@@ -189,8 +189,8 @@ def near_duplicates(df: DataFrame, percent: int = 80, id_col: str = "doc_id", te
                 sets = [signer.shingles(t) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "found", "hashes"])
 
-    texts = df.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    signed = scratch.table(texts.mapInArrow(sign, f"id {id_type}, n bigint, cls binary, keys array<bigint>"), "signed")
+    texts = df.select(F.col(id_col).alias("id"), whole(text_col).alias("text"), *([F.col(key_col).alias("extra")] if key_col else []))
+    signed = scratch.table(texts.mapInArrow(sign, f"id {id_type}, n bigint, cls binary, keys array<bigint>" + ", extra string" * bool(key_col)), "signed")
     classes = scratch.table(signed.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys")), "classes")
     banded = classes.select("cls", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -232,6 +232,7 @@ def near_duplicates(df: DataFrame, percent: int = 80, id_col: str = "doc_id", te
         joined = classes.select("cls", "rep").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
         least = joined.groupBy("root").agg(F.min("rep").alias("least"))
         named = scratch.table(joined.join(least, "root").select("cls", "least"), "named")
-    out = signed.select("id", "n", "cls").join(named, "cls", "left")
+    carried = ["extra"] if key_col else []
+    out = signed.select("id", "n", "cls", *carried).join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("least"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"), *(F.col(c).alias(key_col) for c in carried))

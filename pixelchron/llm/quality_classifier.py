@@ -150,6 +150,17 @@ def fit(train: DataFrame, width: float = 1.0, features: int = 256, ridge: float
     return model
 
 
+def train_quality(table: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_train: int, scratch: Scratch) -> QualityModel:
+    """Fits on the rows of a statistics table that labels name, but for the held-out ones."""
+    marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    train = table.filter("held % 3 != 1 and id is not null").join(marks, "id")
+    train = scratch.table(train.select("x", "y", F.xxhash64("id").alias("hash")), "labelled")
+    n = train.count()
+    if n > max_train:
+        train = train.filter(F.pmod("hash", F.lit(1_000_003)) < int(1_000_003 * max_train / n))
+    return fit(scratch.table(train.select("x", "y", F.pmod(F.shiftright("hash", 20), F.lit(2)).cast("int").alias("fold")), "train"))
+
+
 def classify_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = 40_000) -> DataFrame:
     """Scores every row: id, held_out, score (0 to 1, higher is better), predicted (1 from 0.5 on).
 
@@ -161,13 +172,7 @@ def classify_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     scratch = Scratch(df.sparkSession, "quality")
     table = statistics_table(df, id_col, text_col, scratch)
-    marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    train = table.filter("held % 3 != 1 and id is not null").join(marks, "id")
-    train = scratch.table(train.select("id", "x", "y", F.xxhash64("id").alias("hash")), "labelled")
-    n = train.count()
-    if n > max_train:
-        train = train.filter(F.pmod("hash", F.lit(1_000_003)) < int(1_000_003 * max_train / n))
-    model = fit(scratch.table(train.select("x", "y", F.pmod(F.shiftright("hash", 20), F.lit(2)).cast("int").alias("fold")), "train"))
+    model = train_quality(table, labels, id_col, label_col, max_train, scratch)
     id_type = dict(table.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,3 +183,22 @@ def classify_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     rows = table.select("id", "x", (F.col("held") % 3 == 1).alias("held_out"))
     return rows.mapInArrow(run, f"id {id_type}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def keep_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = 40_000) -> DataFrame:
+    """The rows of df whose text scores 0.5 or more, with all their columns: classify_quality as a filter.
+
+    Rows pass through the workers whole, so nothing is joined back and every row is judged by its own text.
+    """
+    scratch = Scratch(df.sparkSession, "quality")
+    model = train_quality(statistics_table(df, id_col, text_col, scratch), labels, id_col, label_col, max_train, scratch)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                x = np.array([text_statistics(t or "") for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array(model.score(x) >= 0.5))
+
+    return df.mapInArrow(run, df.schema)

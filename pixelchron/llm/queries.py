@@ -32,6 +32,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan_secrets
+
+    return scan_secrets(_read(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import apply_rules
 
@@ -73,7 +79,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_quality_rules, op5_mixing, op6_minhash_near_dedup, op7_quality_classifier, op8_lm_scoring, op9_token_files, op10_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_secret_scan, op4_quality_rules, op5_mixing, op6_minhash_near_dedup, op7_quality_classifier, op8_lm_scoring, op9_token_files, op10_bpe)}
 
 
 ORACLES: dict[str, str] = {}
