@@ -23,7 +23,8 @@ def polar_vector(df: DataFrame, band: str, keys: list[str], ts: str = "ts") -> D
 
 def season_bounds(year: Column, theta: Column, first: Column) -> tuple[Column, Column]:
     """Milliseconds of start and end of the season counted to a year: it starts in the year before if THETA is in the second half."""
-    start = ((year - F.when(first == 1, 0).otherwise(1) - 1970) * MS_YEAR + theta * MS_DAY).cast("long")
+    since = (year - F.when(first == 1, 0).otherwise(1) - 1970).cast("long")
+    start = since * F.lit(MS_YEAR) + theta.cast("long") * F.lit(MS_DAY)
     return start, start + MS_YEAR
 
 

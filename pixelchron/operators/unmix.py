@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Up to so many endmembers all their subsets are tried.
+SUBSETS = 8
+
 
 def coefficients(endmembers: dict[str, list[float]], sum_to_one: bool) -> tuple[np.ndarray, np.ndarray]:
     """Fractions are matrix @ bands + offset: least squares, with a Lagrange multiplier if they have to sum to one."""
@@ -45,7 +49,7 @@ def unmix(df: DataFrame, bands: list[str], endmembers: dict[str, list[float]], s
                 x = batch[bands].to_numpy(float)
                 f = np.full((len(x), len(names)), np.nan)
                 good = ~np.isnan(x).any(axis=1)
-                f[good] = [non_negative_fractions(e, row, sum_to_one) for row in x[good]]
+                f[good] = best_subset(e, x[good], sum_to_one) if len(names) <= SUBSETS else [non_negative_fractions(e, row, sum_to_one) for row in x[good]]
                 yield batch.assign(**{n: f[:, k] for k, n in enumerate(names)})
 
         schema = ", ".join([f"`{c}` {t}" for c, t in df.dtypes] + [f"`{n}` double" for n in names])
@@ -54,6 +58,25 @@ def unmix(df: DataFrame, bands: list[str], endmembers: dict[str, list[float]], s
     return df.drop(*bands) if drop_inputs else df
 
 
+def best_subset(e: np.ndarray, x: np.ndarray, sum_to_one: bool) -> np.ndarray:
+    """Fractions of 0 or more for all rows of x at once.
+
+    The best non-negative solution is the plain one on the endmembers that it uses, so of all subsets' plain solutions
+    the one without a negative fraction that leaves the least is it.
+    """
+    m = e.shape[1]
+    best, least = np.zeros((len(x), m)), np.full(len(x), np.inf) if sum_to_one else (x * x).sum(axis=1)
+    for used in (list(s) for k in range(1, m + 1) for s in combinations(range(m), k)):
+        a, b = coefficients({str(j): e[:, j].tolist() for j in used}, sum_to_one)
+        f = x @ a.T + b
+        left = ((x - f @ e[:, used].T) ** 2).sum(axis=1)
+        better = (f >= -1e-12).all(axis=1) & (left < least)
+        least = np.where(better, left, least)
+        best[better] = 0
+        best[np.ix_(better, used)] = np.maximum(f[better], 0)
+    return best
+
+
 def non_negative_fractions(e: np.ndarray, y: np.ndarray, sum_to_one: bool) -> np.ndarray:
     """Least squares with fractions of 0 or more (Lawson and Hanson 1974); a heavy extra row makes them sum to one."""
     if sum_to_one:
