@@ -82,7 +82,7 @@ def parse_roi(value: object) -> list[Roi]:
         return items
     if items and all(isinstance(x, (int, float)) for x in items) and len(items) in (2, 4):
         return [Roi(_ring([items]) if len(items) == 2 else _box_ring(*map(float, items)))]
-    if len(items) >= 3 and all(len(x) == 2 for x in items):
+    if len(items) >= 3 and all(isinstance(x, (list, tuple)) and len(x) == 2 for x in items):
         return [Roi(_ring(items))]
     raise ValueError("a region is [lon, lat], [lon, lat, lon, lat], a polygon's vertices or GeoJSON")
 
