@@ -68,11 +68,11 @@ def test_morphology_and_unmixing_in_the_chain(spark, tables):
 
 
 def test_export(spark, tables, tmp_path):
-    p = run_param(BASE | {"STM": ["mean"], "EXPORT_IMAGE": True, "EXPORT_TABLE": True, "EXPORT_STM": True, "EXPORT_TSS": True, "EXPORT_PER_TIME": True, "DATE_MIN": 19960301, "DATE_MAX": 19960401, "EXPORT_DIRECTORY": str(tmp_path), "EXPORT_BANDNAMES_AS_CSV": True, "ROI": [13.0, 52.3, 13.1, 52.4]}, tables, spark)
-    assert sorted(p["EXPORTED"]) == ["STM_PXC_19960301-19960401_LSAT", "STM_PXC_19960301-19960401_LSAT_table", "TSS_PXC_19960301-19960401_LSAT", "TSS_PXC_19960301-19960401_LSAT_table"]
-    image = spark.read.parquet(p["EXPORTED"]["TSS_PXC_19960301-19960401_LSAT"])
+    p = run_param(BASE | {"STM": ["mean"], "EXPORT_IMAGE": True, "EXPORT_TABLE": True, "EXPORT_STM": True, "EXPORT_TSS": True, "EXPORT_PER_TIME": True, "DATE_MIN": 19960101, "DATE_MAX": 19960701, "EXPORT_DIRECTORY": str(tmp_path), "EXPORT_BANDNAMES_AS_CSV": True, "ROI": [13.0, 52.2, 13.1, 52.3]}, tables, spark)
+    assert sorted(p["EXPORTED"]) == ["STM_PXC_19960101-19960701_LSAT", "STM_PXC_19960101-19960701_LSAT_table", "TSS_PXC_19960101-19960701_LSAT", "TSS_PXC_19960101-19960701_LSAT_table"]
+    image = spark.read.parquet(p["EXPORTED"]["TSS_PXC_19960101-19960701_LSAT"])
     assert "date" in image.columns and dict(image.dtypes)["NDVI"] == "smallint" and image.filter("NDVI is null").count() == 0
-    table = spark.read.csv(p["EXPORTED"]["TSS_PXC_19960301-19960401_LSAT_table"], header=True)
+    table = spark.read.csv(p["EXPORTED"]["TSS_PXC_19960101-19960701_LSAT_table"], header=True)
     assert {"fid", "NDVI_first"} <= set(table.columns) and table.count() > 0
     with pytest.raises(ValueError):
         run_param(BASE | {"EXPORT_IMAGE": True, "EXPORT_STM": True, "EXPORT_DIRECTORY": str(tmp_path)}, tables, spark)
