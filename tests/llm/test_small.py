@@ -19,7 +19,7 @@ from pixelchron.llm.exact_dedup import drop_copies, exact_dedup
 from pixelchron.llm.lm_scoring import score_documents
 from pixelchron.llm.mixing import mix, source_targets
 from pixelchron.llm.near_dedup import near_duplicates
-from pixelchron.llm.quality_classifier import classify_quality, isotonic, keep_quality
+from pixelchron.llm.quality_classifier import classify_quality, isotonic, keep_quality, text_statistics
 from pixelchron.llm.quality_rules import RULES, apply_rules, order_rules
 from pixelchron.llm.secret_scan import labelled_findings, scan_secrets, train_forest
 from pixelchron.llm.sharding import shard_documents, smallest_capacity
@@ -227,6 +227,13 @@ def test_classifier(spark, docs, none):
     assert {r["score"] for r in classify_quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_title_case_is_counted_over_the_whole_text():
+    words = (["Title"] + ["plain"] * 4) * 200
+    assert text_statistics(" ".join(words))[-1] == pytest.approx(0.2)
+    # The stride of a sample meets only one of the two kinds.
+    assert text_statistics(" ".join(["Title", "plain"] * 200))[-1] == pytest.approx(0.5)
+
+
 def test_isotonic_pools():
     knots, values = isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert values.tolist() == [0, 0, 0.5, 0.5, 1, 1] and knots.tolist() == [1, 1, 2, 3, 4, 4]
