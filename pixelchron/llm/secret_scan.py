@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, spaced, whole
 
-#: A candidate is the run after the last = : quote or bracket of a word; it needs a digit.
-CANDIDATE = "^(?:.*[=:\"'(\\[])?([A-Za-z0-9+/_.-]{12,})"
+#: A candidate is every run of these characters, wherever it stands in a text.
+RUN = "[A-Za-z0-9+/_.-]{12,}+"
+#: The name in front of a candidate, from its lead read backwards: the marks between the two, then the run before them.
+NAME = "^([^A-Za-z0-9+/_.-]*[A-Za-z0-9+/_.-]*)"
 KEYS = "(?i)(passw|pwd|secret|token|api.?key|access.?key|auth|bearer|credential|private)"
 BENIGN = "(?i)(commit|revision|checksum|md5|sha\\d|hash|uuid|guid|version|build|isbn|order|invoice|phone|serial|digest|etag)"
 RISKY_PATH = "(?i)(\\.env|config|secret|credential|deploy|prod|settings|\\.pem|\\.key)"
@@ -34,22 +36,41 @@ WORDS = (
 def candidates(df: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
     """One row per candidate: id, path, start (characters before it), candidate, word, before, before2, after.
 
-    Texts are split at white space; of each word that is long enough and has a digit the candidate is taken by CANDIDATE. Only candidates are exploded.
+    Texts are split at white space, and of each word every RUN is a candidate, less full stops and hyphens at its end if it still has 12 characters. word is the
+    candidate with the name and marks in front of it; before, before2 and after are the words around the one that it stands in. Only words with a run are exploded.
     """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = df.select(F.col(id_col).alias("_id"), path.alias("_path"), F.split(spaced(whole(text_col)), " ").alias("_w"))
-    found = F.filter(F.transform("_w", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: (F.length(x["w"]) >= 12) & x["w"].rlike("[0-9]") & x["w"].rlike(CANDIDATE))
-    rows = rows.withColumn("_found", found).filter(F.size("_found") > 0).select("_id", "_path", "_w", F.explode("_found").alias("_f"))
-    i = F.col("_f.i")
-    before = F.aggregate(F.slice("_w", F.lit(1), i), F.lit(0).cast("long"), lambda a, w: a + F.length(w) + 1)
-
-    def word(k: int) -> Column:
-        return F.coalesce(F.get(F.col("_w"), i + k), F.lit(""))
-
-    rows = rows.select("_id", "_path", before.alias("_at"), F.col("_f.w").alias("word"), F.regexp_extract("_f.w", CANDIDATE, 1).alias("candidate"), word(-1).alias("before"), word(-2).alias("before2"), word(1).alias("after"))
-    rows = rows.withColumn("candidate", F.regexp_replace("candidate", "[.-]+$", "")).filter((F.length("candidate") >= 12) & F.col("candidate").rlike("[0-9]"))
-    head = F.length(F.regexp_extract("word", "^((?:.*[=:\"'(\\[])?)[A-Za-z0-9+/_.-]{12,}", 1))
-    return rows.withColumn("start", F.col("_at") + head).drop("_at")
+    none = F.array().cast("array<struct<i:int,at:bigint>>")
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("at"), none.alias("found"))
+
+    def step(a: Column, w: Column) -> Column:
+        here = F.struct(a["i"].alias("i"), a["at"].alias("at"))
+        found = F.when((F.length(w) >= 12) & w.rlike(RUN), F.concat(a["found"], F.array(here))).otherwise(a["found"])
+        return F.struct((a["i"] + 1).alias("i"), (a["at"] + F.length(w) + 1).alias("at"), found.alias("found"))
+
+    def word(i: Column) -> Column:
+        return F.coalesce(F.get(F.col("_w"), i), F.lit(""))
+
+    rows = rows.withColumn("_f", F.aggregate("_w", start, step, lambda a: a["found"])).filter(F.size("_f") > 0)
+    around = F.transform("_f", lambda f: F.struct(f["at"].alias("at"), word(f["i"]).alias("w"), word(f["i"] - 1).alias("before"), word(f["i"] - 2).alias("before2"), word(f["i"] + 1).alias("after")))
+    rows = rows.select("_id", "_path", F.explode(around).alias("_f")).select("_id", "_path", "_f.*")
+    # Gaps and runs of a word take turns, so a run starts behind the gaps up to it and the runs before it.
+    rows = rows.withColumns({"_runs": F.regexp_extract_all("w", F.lit(RUN), 0), "_gaps": F.split("w", RUN, -1)})
+    turns = F.arrays_zip(F.col("_gaps").alias("gap"), F.col("_runs").alias("run"))
+    empty = F.struct(F.col("at").alias("at"), F.lit("").alias("last"), F.array().cast("array<struct<start:bigint,run:string,lead:string>>").alias("found"))
+
+    def turn(a: Column, t: Column) -> Column:
+        at = a["at"] + F.length(t["gap"])
+        one = F.struct(at.alias("start"), t["run"].alias("run"), F.concat(a["last"], t["gap"]).alias("lead"))
+        return F.struct((at + F.length(t["run"])).alias("at"), t["run"].alias("last"), F.concat(a["found"], F.array(one)).alias("found"))
+
+    # The last gap has no run behind it.
+    turns = F.slice(turns, F.lit(1), F.size("_runs"))
+    rows = rows.select("_id", "_path", F.explode(F.aggregate(turns, empty, turn, lambda a: a["found"])).alias("_r"), "before", "before2", "after").select("_id", "_path", "_r.*", "before", "before2", "after")
+    rows = rows.withColumn("candidate", F.regexp_replace("run", "[.-]++$", "")).filter(F.length("candidate") >= 12)
+    name = F.reverse(F.regexp_extract(F.reverse("lead"), NAME, 1))
+    return rows.withColumn("word", F.concat(name, "candidate")).drop("run", "lead")
 
 
 def features(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -58,7 +79,7 @@ def features(df: DataFrame) -> tuple[DataFrame, list[str]]:
     kind = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]", "9"), "[a-z]", "a"), "[A-Z]", "Z"), "+/_.-", "-----")
     letters = F.lower(c)
     pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.substring(letters, k, F.lit(2)))
-    near = F.concat_ws(" ", "before2", "before", F.regexp_extract("word", "^(.*?)[=:\"'(\\[]", 1))
+    near = F.concat_ws(" ", "before2", "before", F.regexp_extract("word", "^([A-Za-z0-9+/_.-]*+)[^A-Za-z0-9+/_.-]", 1))
     flags = {"key_near": near.rlike(KEYS), "key_after": F.col("after").rlike(KEYS), "benign_near": near.rlike(BENIGN), "risky_path": F.col("_path").rlike(RISKY_PATH), "tame_path": F.col("_path").rlike(TAME_PATH), "assigned": F.col("word").rlike("[=:]") | F.col("before").rlike("[=:]$"), "quoted": F.col("word").rlike("[\"']"), "hex": c.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), "dashed": c.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-"), "dated": c.rlike("(19|20)[0-9]{2}[-_.]?[01][0-9]"), "all_digits": c.rlike("^[0-9._/+-]+$"), "prefixed": c.rlike("^(A[KS]IA[0-9A-Z]{16}$|gh[pousr]_|xox[abprs]-|AIza|sk-|eyJ)")}
     numbers = {
         "length": n.cast("double"),
@@ -79,7 +100,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 5) -> Data
     """Labelled findings to train from where a user has none: candidate, word, before, before2, after, _path, label.
 
     Drawn by hash from templates: keys, tokens and passwords of usual forms among code and prose, and what is mistaken for them: hashes,
-    identifiers, versions, dates, file names, placeholders, numbers.
+    identifiers, versions, dates, file names, placeholders, numbers, words of prose in any case.
     """
     rows = spark.range(n, numPartitions=2).select("id", *(F.sha2(F.concat(F.lit(f"{seed}:{k}:"), F.col("id").cast("string")), 512).alias(f"h{k}") for k in range(3)))
     hexes, more = F.col("h0"), F.col("h1")
@@ -95,17 +116,22 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 5) -> Data
     number = F.substring(F.regexp_replace(F.concat(hexes, more), "[a-f]", ""), 1, 14)
     date = F.concat(F.lit("20"), F.substring(number, 1, 2), pick(["-03-", "-07-", "-11-", "-12-"], "d"), F.substring(number, 5, 1), F.lit("1T10.30.00"))
     plain = F.lit("")
+    letters = F.translate(mixed, "0123456789+/", "kRzVqXwJbMTc")
+    syllables = F.concat(*(pick(PAIRS, f"S{k}") for k in range(7)))
+    spoken = F.element_at(F.array(syllables, F.upper(syllables), F.initcap(syllables)), (F.pmod(F.xxhash64("id", F.lit(f"{seed}C")), F.lit(3)) + 1).cast("int"))
     yes = [
         (F.concat(F.lit("AKIA"), F.upper(F.substring(F.regexp_replace(mixed, "[+/]", "X"), 1, 16))), plain, prose, plain),
         (F.substring(hexes, 1, 18), key, prose, plain), (F.substring(hexes, 1, 40), F.lit("\""), F.lit("="), pick(["token", "secret", "api_key", "password"], "q")),
         (F.substring(mixed, 1, 40), key, prose, plain), (F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(mixed, "[+/]", "a"), 1, 36)), plain, pick(["token:", "with", "Bearer", "key"], "r"), prose),
         (F.substring(mixed, 1, 24), F.lit("\""), F.lit(":"), pick(["\"password\"", "secret", "access_key"], "s")), (F.concat(F.lit("sk-"), F.substring(mixed, 1, 32)), plain, pick(["key", "auth", "the"], "t"), prose),
+        (F.substring(letters, 1, 20), key, prose, plain),
     ]
     no = [
         (uuid, plain, pick(["uuid", "id", "the", "guid"], "u"), prose), (F.substring(hexes, 1, 40), plain, pick(["commit", "revision", "sha1", "checksum"], "v"), prose), (F.substring(hexes, 1, 64), F.lit("sha256:"), pick(["digest", "layer", "hash"], "w"), prose),
         (name, plain, prose, prose), (date, plain, prose, prose), (number, plain, pick(["phone", "order", "invoice", "no", "the"], "x"), prose),
         (F.concat(pick(["changeme", "yourpassword", "example-token-", "placeholder"], "y"), F.substring(number, 1, 4)), key, prose, plain), (F.concat(F.lit("1."), F.substring(number, 1, 2), F.lit("."), F.substring(number, 3, 2), F.lit("-snapshot.build")), plain, pick(["version", "release", "build"], "z"), prose),
         (F.concat(pick(["https", "docs", "images"], "a"), F.lit("/page/section/"), F.substring(number, 1, 6)), plain, prose, prose), (F.concat(F.lit("and"), pick(["thetion", "enreaha", "erlyble", "keitung"], "b"), F.substring(number, 1, 2)), plain, prose, prose),
+        (spoken, plain, prose, prose), (F.concat_ws("-", pick(["state-of", "long", "well", "self"], "g"), F.substring(syllables, 1, 8)), plain, prose, prose), (spoken, key, prose, plain),
     ]
     at = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))
     label = (F.col("id") % 2).cast("double")

@@ -202,6 +202,16 @@ def test_secret_scan(spark, docs, none):
     assert scan_secrets(none).count() == 0 and scan_secrets(docs).count() >= 0
 
 
+def test_secret_scan_finds_every_run(spark):
+    aws, github, plain = "AKIA" + "Q7XW2ZP9LM4RT8VB", "ghp_" + "abcdEFGH1234ijklMNOP5678", "9b0bd52b5c0e4e0e8f3c6a1d27e937a8"
+    texts = [f'{{"api_key":"{aws}","token":"{github}"}}', f"aws_key={aws};region=eu-central-1", f"token={plain}&session=abcdefghijkl", f"a,{aws},b", f"<key>{aws}</key>", f"`{github}`", f"{{{aws}}}", f"***{aws}", f"日本語 secret:{aws},🎉{github}. end", "internationalization it is.", ",".join([aws] * 300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("src0"))
+    got = scan_secrets(df).collect()
+    runs = [(i, m.start(), m.group().rstrip(".-")) for i, t in enumerate(texts) for m in re.finditer(r"[A-Za-z0-9+/_.-]{12,}", t)]
+    assert sorted((r["doc_id"], r["start"], r["candidate"]) for r in got) == sorted(r for r in runs if len(r[2]) >= 12)
+    assert all(r["length"] == len(r["candidate"]) and r["is_secret"] == (r["candidate"] in (aws, github, plain)) for r in got)
+
+
 def test_secret_forest_on_held_out_findings(spark):
     forest = train_forest(labelled_findings(spark, 2000, seed=5), trees=15)
     from pyspark.ml.feature import VectorAssembler
