@@ -1,8 +1,8 @@
 """A corpus pipeline: quality classifier, exact deduplication, near deduplication, mixing, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; ``run`` writes each result as Parquet and
-reads it for the next. All but the last return the columns of docs. Rows are told apart by id and text digest, so null and
-repeated ids do no harm; of rows that agree in both, mixing repeats all as it repeats one.
+reads it for the next. All but the last return the columns of docs. Both deduplications tell rows apart by a key of their own, so null and
+repeated ids do no harm; mixing goes by id and text digest, and of rows that agree in both it repeats all as it repeats one.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pixelchron.llm._common import Scratch, whole
 from pixelchron.llm.bpe import encode_documents, token_digests
-from pixelchron.llm.exact_dedup import drop_copies
+from pixelchron.llm.exact_dedup import drop_copies, numbered
 from pixelchron.llm.mixing import mix
 from pixelchron.llm.near_dedup import near_duplicates
 from pixelchron.llm.quality_classifier import keep_quality
@@ -56,9 +56,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked by a similarity of 0.8 or more; it is the one with the smallest id."""
-    rows = _keyed(docs)
-    gone = near_duplicates(rows, 80, key_col="_key").filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("_key").alias("_gone_key")).distinct()
-    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti").select(*docs.columns)
+    rows = numbered(docs, Scratch(spark, "near_rows"))
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    groups = near_duplicates(rows, 80, "_row", at["text"]).select("_row", "component_id").join(rows.select("_row", F.col(at["doc_id"]).alias("_by")), "_row")
+    stays = groups.groupBy("component_id").agg(F.min(F.struct(F.col("_by").isNull().alias("_null"), "_by", "_row"))["_row"].alias("_row"))
+    return rows.join(stays.select("_row"), "_row", "left_semi").drop("_row").toDF(*docs.columns)
 
 
 @_stage

@@ -57,14 +57,22 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     return out
 
 
+def numbered(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """df with its columns as c0, c1 and so on, and _row, a key of each row; written once, so that the key stays."""
+    return scratch.table(df.toDF(*(f"c{i}" for i in range(len(df.columns)))).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that exact_dedup keeps, with all their columns and in their schema.
+    """One row of df for each group of equal texts, with all its columns and in their schema.
 
-    Rows are told apart by id and a digest of the normalised text, so a null or repeated id drops no row of another text.
+    It is the row with the most code points, then the smallest id, null last; of rows that agree in both any one stays. Rows are told apart by a key of
+    their own, so null and repeated ids neither keep a copy nor drop a row of another text.
     """
-    names = [f"c{i}" for i in range(len(df.columns))]
-    at = dict(zip(df.columns, names, strict=False))
-    plain = df.toDF(*names).withColumn("_key", F.sha2(normalised(at[text_col]).cast("binary"), 256))
-    dropped = exact_dedup(plain, at[id_col], at[text_col], ["_key"]).filter("not kept").select(F.col(at[id_col]).alias("_gone"), F.col("_key").alias("_gone_key")).distinct()
-    kept = plain.join(dropped, F.col(at[id_col]).eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
-    return kept.drop("_key").toDF(*df.columns)
+    rows = numbered(df, Scratch(df.sparkSession, "copies"))
+    at = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    keyed = rows.withColumns({"_by": F.col(at[id_col]), "_less": -F.char_length(whole(at[text_col]))})
+    copies = exact_dedup(keyed, "_row", at[text_col], ["_less", "_by"]).filter("group_size > 1")
+    stays = copies.groupBy("keep_id").agg(F.min(F.struct("_less", F.col("_by").isNull().alias("_null"), "_by", "_row"))["_row"].alias("_row"))
+    # Joined by row and not by group: a group of any size is spread.
+    gone = copies.select("_row").join(stays.select("_row"), "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").drop("_row").toDF(*df.columns)

@@ -6,6 +6,7 @@ import corpus_pipeline
 import pytest
 from oracle import differences, duck
 from pyspark.sql import functions as F
+from test_small import BASE, SPACE, plain_near
 
 from pixelchron.llm import queries
 
@@ -42,3 +43,23 @@ def test_stages_keep_columns_and_stand_nulls(spark, tmp_path):
         assert set(docs.columns) <= set(got.columns), name
         assert got.count() <= (2 if name == "mixing" else 1) * rows.count()
         assert stage(spark, spark.read.parquet(str(tmp_path / name)).limit(0), str(tmp_path)).count() == 0
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark, tmp_path):
+    texts = [(7, "a b c"), (7, "a b c"), (None, "ab  c"), (None, "x y"), (None, "xy"), (None, "other"), (7, "more"), (3, BASE), (None, BASE), (3, BASE), (5, BASE.replace("w100", "changed")), (9, BASE + " tail"), (None, "lone text of its own here"), (None, "lone text of its own here")]
+    rows = spark.createDataFrame([(i, t, "a") for i, t in texts], "doc_id long, text string, source string")
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    last = lambda i: (i is None, i or 0)
+    groups: dict[str, list] = {}
+    for i, t in texts:
+        groups.setdefault(SPACE.sub("", t), []).append((-len(t), last(i), i, t))
+    want = [min(x, key=lambda r: r[:2])[2:] for x in groups.values()]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.exact(spark, rows, SF).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    # Keys of their own make the plain components unique.
+    groups = {}
+    for (i, t), (_, _, c) in zip(texts, plain_near([(k, t) for k, (_, t) in enumerate(texts)], 80), strict=True):
+        groups.setdefault(c, []).append((last(i), i, t))
+    got = [r["doc_id"] for r in corpus_pipeline.near(spark, rows, SF).collect()]
+    assert sorted(got, key=repr) == sorted((min(x, key=lambda r: r[0])[1] for x in groups.values()), key=repr)
