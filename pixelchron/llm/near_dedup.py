@@ -20,8 +20,8 @@ PLACES = 1 << 20
 BANDS, ROWS = 32, 5
 #: A bucket of at most so many different sets gives all its pairs; larger ones are searched through pivots.
 SMALL = 8
-#: Pivot rounds before what is still apart in large buckets is compared through shared differences alone.
-LEVELS = 3
+#: A pivot is chosen from about so many sets of its family, and from about so many shingles in all. The choice changes what a run costs, never a link.
+SAMPLE_SETS, SAMPLE_SHINGLES = 64, 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLIERS = _rng.integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,12 +104,8 @@ def linked_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, deltas: bool = False) -> DataFrame:
-    """pairs(a, b) with linked: 100 * intersection >= percent * union, on the full sets.
-
-    With deltas also what tells b from a: n (size of b's set), delta (size of the symmetric difference) and the first of its members in a fixed order, those
-    that a lacks before those that b lacks, as many as another set linked to b could have to share one of.
-    """
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b) with linked: 100 * intersection >= percent * union, on the full sets."""
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("_x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("_y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,19 +114,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, deltas: bool = Fal
                 part, out = batch.slice(at, 256), []
                 for x, y in zip(part.column(2), part.column(3), strict=True):
                     x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    if deltas:
-                        new, gone = np.setdiff1d(y, x, True), np.setdiff1d(x, y, True)
-                        common = len(y) - len(new)
-                        row = {"n": len(y), "delta": len(new) + len(gone), "members": np.concatenate([new, gone])[: int(len(y) * (100 - percent) / percent) + 2].view(np.int64)}
-                    else:
-                        common, row = len(np.intersect1d(x, y, True)), {}
-                    out.append(row | {"linked": 100 * common >= percent * (len(x) + len(y) - common)})
-                columns = [part.column(0), part.column(1), pa.array([r["linked"] for r in out], pa.bool_())]
-                if deltas:
-                    columns += [pa.array([r["n"] for r in out], pa.int64()), pa.array([r["delta"] for r in out], pa.int64()), pa.array([r["members"] for r in out], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "linked", "n", "delta", "members"][: len(columns)])
+                    common = len(np.intersect1d(x, y, True))
+                    out.append(100 * common >= percent * (len(x) + len(y) - common))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.bool_())], ["a", "b", "linked"])
 
-    return both.select("a", "b", "_x", "_y").mapInArrow(run, "a binary, b binary, linked boolean" + ", n bigint, delta bigint, members array<bigint>" * deltas)
+    return both.select("a", "b", "_x", "_y").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
 def bucket_pairs(members: DataFrame) -> DataFrame:
@@ -138,22 +126,104 @@ def bucket_pairs(members: DataFrame) -> DataFrame:
     return left.join(right, "key").filter("a < b").select("a", "b").distinct()
 
 
-def delta_pairs(star: DataFrame, percent: int, last: bool) -> DataFrame:
-    """Pairs of sets beside one pivot, at least one of them not linked to it, that share enough of what tells them from the pivot to be linked.
+def families(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """family, cls: every class of a bucket with the family of the bucket, written once.
+
+    A bucket is named after its class that shares most with others; classes take the best name of their buckets, and buckets the best
+    name of their classes. So buckets of one text's copies mostly come to one name, and a class is in few families. Classes that
+    share a bucket share a family: that bucket's.
+    """
+    weight = members.groupBy("cls").agg(F.sum("m").alias("w"))
+    named = members.select("key", "cls").join(weight, "cls").groupBy("key").agg(F.max(F.struct("w", "cls")).alias("name"))
+    # Each table of names is written, so that the join to it on a hot key starts from two exchanges, which Spark can split.
+    named = scratch.table(named, "named0")
+    best = scratch.table(members.select("key", "cls").join(named, "key").groupBy("cls").agg(F.max("name").alias("name")), "best")
+    named = scratch.table(members.select("key", "cls").join(best, "cls").groupBy("key").agg(F.max("name").alias("name")), "named1")
+    return scratch.table(members.select("key", "cls").join(named, "key").select(F.col("name.cls").alias("family"), "cls").distinct(), "families")
+
+
+def pivots(family: DataFrame, sets: DataFrame) -> DataFrame:
+    """Per family its pivot, a class of it, and what a sample of its sets holds: tokens (sorted), counts, in the pivot or not, and how many sets were looked at.
+
+    The pivot is the sampled set nearest to the shingles that most sampled sets have. The sample is the class that gave the family its name and a share by hash.
+    """
+    sizes = family.join(sets.select("cls", "n"), "cls")
+    total = sizes.groupBy("family").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_sum"))
+    share = F.least(F.lit(SAMPLE_SETS) / F.col("_m"), F.lit(SAMPLE_SHINGLES) / F.col("_sum"))
+    drawn = family.join(total, "family").filter((F.col("cls") == F.col("family")) | (F.pmod(F.xxhash64("family", "cls"), F.lit(1 << 30)) < share * (1 << 30)))
+    drawn = drawn.select("family", "cls").join(sets.select("cls", "hashes"), "cls").groupBy("family").agg(F.collect_list(F.struct("cls", "hashes")).alias("drawn"))
 
-    |x ^ y| is delta_x + delta_y - 2 * shared, and a link allows it at most (100 - percent) / (100 + percent) of both sizes, which
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                some = batch.column(1)[k].values
+                names, found = some.field(0).to_pylist(), [np.frombuffer(x.as_buffer(), np.uint64) for x in some.field(1)]
+                tokens, counts = np.unique(np.concatenate(found), return_counts=True)
+                usual = tokens[2 * counts > len(found)]
+                away = [len(x) + len(usual) - 2 * len(np.intersect1d(x, usual, True)) for x in found]
+                at = min(range(len(found)), key=lambda i: (away[i], names[i]))
+                inside = np.isin(tokens, found[at], assume_unique=True)
+                keep = inside | (counts > 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([names[at]], pa.binary()), *(pa.array([x[keep].tobytes()], pa.binary()) for x in (tokens, counts.astype(np.uint32), inside)), pa.array([len(found)], pa.int64())], ["family", "pivot", "tokens", "counts", "inside", "drawn"])
+
+    return drawn.mapInArrow(run, "family binary, pivot binary, tokens binary, counts binary, inside binary, drawn bigint")
+
+
+def star_of(family: DataFrame, pivot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Per family and class but the pivot: linked (to the pivot), n (size of its set), p_n (of the pivot's), delta (size of the symmetric difference) and members.
+
+    members are the first of the difference, those rarest among the differences of the sample first, as many as another set linked to this one could have to share one of.
+    """
+    rows = family.join(pivot, "family").filter("cls <> pivot").join(sets.select("cls", "hashes"), "cls")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part, out = batch.slice(k, 256), []
+                for *pivot_of, y in zip(*(part.column(c) for c in ("tokens", "counts", "inside", "drawn", "hashes")), strict=True):
+                    tokens, counts, inside = (np.frombuffer(x.as_buffer(), t) for x, t in zip(pivot_of, (np.uint64, np.uint32, bool), strict=False))
+                    drawn, y = pivot_of[3].as_py(), np.frombuffer(y.as_buffer(), np.uint64)
+                    at = np.minimum(np.searchsorted(tokens, y), len(tokens) - 1)
+                    met = tokens[at] == y
+                    has = np.zeros(len(tokens), bool)
+                    has[at[met]] = True
+                    gone, odd = inside & ~has, has & ~inside
+                    apart = np.concatenate([y[~met], tokens[odd], tokens[gone]])
+                    rarity = np.concatenate([np.zeros(len(y) - int(met.sum()), np.int64), counts[odd], drawn - counts[gone].astype(np.int64)])
+                    p_n = int(inside.sum())
+                    common = p_n - int(gone.sum())
+                    first = apart[np.lexsort((apart, rarity))][: int(len(y) * (100 - percent) / percent) + 2]
+                    out.append((100 * common >= percent * (len(y) + p_n - common), len(y), p_n, len(apart), first.view(np.int64)))
+                linked, n, p_n, delta, members = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("family", "pivot", "cls")), pa.array(linked, pa.bool_()), *(pa.array(x, pa.int64()) for x in (n, p_n, delta)), pa.array(members, pa.list_(pa.int64()))], ["family", "a", "b", "linked", "n", "p_n", "delta", "members"])
+
+    rows = rows.select("family", "pivot", "cls", "tokens", "counts", "inside", "drawn", "hashes")
+    return rows.mapInArrow(run, "family binary, a binary, b binary, linked boolean, n bigint, p_n bigint, delta bigint, members array<bigint>")
+
+
+def delta_pairs(star: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of a family, at least one of them not linked to the pivot, that share enough of what tells them from it to be linked.
+
+    |x ^ y| is delta_x + delta_y - 2 * shared, and a link allows it at most k = (100 - percent) / (100 + percent) of both sizes, which
     gives the least number shared. If two sets share so many, then two prefixes of their differences, as short as that number allows, have a member in
     common. A pair that shares nothing is no closer than either set is to the pivot, so a link without anything shared is one that goes through the pivot anyway.
-    Before the last level, pairs not linked to the pivot on either side are left to the next one.
+
+    As a set beside one that isn't linked to the pivot needs only about the first half of its difference, the usual members, which come last, meet rare ones alone:
+    neither two sets apart from the pivot nor those linked to it are brought together by what many of them lack.
     """
-    rows = star.select(F.col("a").alias("p"), "b", "linked", "n", "delta", F.posexplode("members").alias("at", "e"))
-    x = rows.filter("not linked").select("p", "e", *(F.col(c).alias(f"x_{c}") for c in ("b", "n", "delta", "at")))
-    y = (rows if last else rows.filter("linked")).select("p", "e", F.col("linked").alias("y_linked"), *(F.col(c).alias(f"y_{c}") for c in ("b", "n", "delta", "at")))
-    least = F.greatest(F.lit(1), F.ceil((F.col("x_delta") + F.col("y_delta") - (F.col("x_n") + F.col("y_n")) * ((100 - percent) / (100 + percent))) / 2 - 1e-9))
+    k = (100 - percent) / (100 + percent)
+    rows = star.select("family", "b", "linked", "n", "delta", ((F.col("delta") + k * (F.col("n") - F.col("p_n"))) / 2 + 1e-6).alias("half"), F.posexplode("members").alias("at", "e"))
+    part = lambda s, x: s.select("family", "e", *(F.col(c).alias(f"{x}_{c}") for c in ("b", "n", "delta", "at")))
+    apart, short = rows.filter("not linked"), rows.filter("at <= half")
+    least = F.greatest(F.lit(1), F.ceil((F.col("x_delta") + F.col("y_delta") - (F.col("x_n") + F.col("y_n")) * k) / 2 - 1e-9))
     close = (F.col("x_delta") - least >= F.col("x_at")) & (F.col("y_delta") - least >= F.col("y_at"))
     sizes = (100 * F.col("x_n") >= percent * F.col("y_n")) & (100 * F.col("y_n") >= percent * F.col("x_n"))
-    found = x.join(y, (x["p"] == y["p"]) & (x["e"] == y["e"]) & close & sizes & (F.col("y_linked") | (F.col("x_b") < F.col("y_b"))))
-    return found.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
+    found = []
+    for left, right, ordered in ((apart.filter("at <= half"), short.filter("not linked"), F.col("x_b") < F.col("y_b")), (apart, short.filter("linked"), F.lit(True))):
+        x, y = part(left, "x"), part(right, "y")
+        pairs = x.join(y, (x["family"] == y["family"]) & (x["e"] == y["e"]) & close & sizes & ordered)
+        found.append(pairs.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct())
+    return found[0].unionByName(found[1]).distinct()
 
 
 def near_duplicates(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, key_col: str | None = None) -> DataFrame:
@@ -165,9 +235,9 @@ def near_duplicates(df: DataFrame, percent: int = 80, id_col: str = "doc_id", te
 
     Rows of equal sets are one class from the start, however many, and need no link between them. Candidates are classes that share a band:
     at 32 bands of 5 a pair of similarity 0.8 is missed with probability 3e-6, one of 0.85 with 7e-9. A bucket of up to SMALL classes gives all its
-    pairs. In a larger one each class is compared with a pivot, and with those others that the differences from the pivot leave possible
-    (delta_pairs), so nothing is capped and a large group of near copies doesn't give all its pairs; classes apart from the pivot go
-    on to a next level with a pivot of their own. Every link is confirmed on full sets, of which only candidates' are kept.
+    pairs. Larger ones are joined to families; in a family each class is compared with one pivot, and with those others that the differences from the pivot
+    leave possible (delta_pairs), so nothing is capped and a large group of near copies doesn't give all its pairs. Every link is confirmed on full
+    sets, of which only candidates' are kept.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "near")
@@ -200,28 +270,15 @@ def near_duplicates(df: DataFrame, percent: int = 80, id_col: str = "doc_id", te
         wanted = members.select("cls").distinct().join(classes.select("cls", "rep"), "cls")
         sets = texts.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("text", "cls").mapInArrow(full, "cls binary, found binary, hashes binary")
         # A repeated id brings texts of other classes along.
-        sets = scratch.table(sets.filter("cls = found").groupBy("cls").agg(F.any_value("hashes").alias("hashes")), "sets")
+        sets = sets.filter("cls = found").groupBy("cls").agg(F.any_value("hashes").alias("hashes"))
+        sets = scratch.table(sets.withColumn("n", (F.octet_length("hashes") / 8).cast("long")), "sets")
         pairs, found = [bucket_pairs(members.filter(F.col("m") <= SMALL))], []
         members = members.filter(F.col("m") > SMALL)
-        while not members.isEmpty():
-            # The pivot of a bucket is the class that shares most with others: near copies of one text lie around it.
-            weight = members.groupBy("cls").agg(F.sum("m").alias("w"))
-            pivots = members.join(weight, "cls").groupBy("key").agg(F.max(F.struct("w", "cls"))["cls"].alias("pivot"))
-            members = scratch.table(members.join(pivots, "key"), f"pivots{level}")
-            star = verified(members.filter("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct(), sets, percent, True)
-            star = scratch.table(star, f"star{level}")
-            last = level + 1 == LEVELS
+        if not members.isEmpty():
+            family = families(members, scratch)
+            star = scratch.table(star_of(family, scratch.table(pivots(family, sets), "pivots"), sets, percent), "star")
             found.append(star.filter("linked").select("a", "b"))
-            pairs.append(delta_pairs(star, percent, last))
-            level += 1
-            if last:
-                break
-            apart = star.filter("not linked").select(F.col("a").alias("pivot"), F.col("b").alias("cls"))
-            members = members.drop("m").join(apart, ["pivot", "cls"]).drop("pivot")
-            counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-            members = scratch.table(members.join(counts, "key"), f"apart{level}")
-            pairs.append(bucket_pairs(members.filter(F.col("m") <= SMALL)))
-            members = members.filter(F.col("m") > SMALL)
+            pairs.append(delta_pairs(star, percent))
         candidates = scratch.table(reduce(DataFrame.unionByName, pairs).distinct(), "candidates")
         found.append(verified(candidates, sets, percent).filter("linked").select("a", "b"))
         edges = scratch.table(reduce(DataFrame.unionByName, found), "edges")
