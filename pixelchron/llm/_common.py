@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from array import array
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +105,65 @@ def running(runs: DataFrame, value: str, out: str, group: str | None = None) ->
     return runs.join(F.broadcast(before_runs(runs, [value])), "_pid").withColumn(out, F.sum(value).over(w) + F.col(f"_b_{value}")).drop(f"_b_{value}")
 
 
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in turn, in slices whose texts have most_bytes together or are a single row."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """flat[start : start + length] of each start and length, one after another."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def coded(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of lists of strings: the different strings, each item's place among them, and where each list ends in these places."""
+    items = lists.flatten().dictionary_encode()
+    return items.dictionary, items.indices.to_numpy().astype(np.int64), np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)
+
+
+def joined(strings: pa.Array, mark: str) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(strings)], pa.int32()), strings), mark)[0].as_py()
+
+
+class Store(dict):
+    """Places of words in a flat store of their ids, for numpy to gather from. make gives a word's ids."""
+
+    def __init__(self, make, fixed: tuple[str, ...] = ()):
+        super().__init__({x: k for k, x in enumerate(fixed)})
+        self.make, self._ids, self._ends = make, array("I"), array("q", [0] * (len(fixed) + 1))
+
+    def add(self, ids) -> int:
+        self._ids.extend(ids)
+        self._ends.append(len(self._ids))
+        return len(self._ends) - 2
+
+    def add_all(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Adds new words whose ids follow one another in ids."""
+        at = len(self._ends) - 1
+        self._ends.frombytes((len(self._ids) + np.cumsum(lengths, dtype=np.int64)).tobytes())
+        self._ids.frombytes(ids.astype(np.uint32).tobytes())
+        self.update(zip(words, range(at, at + len(words)), strict=True))
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = self.add(self.make(word))
+        return at
+
+    def places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at places, one word after another, and how many each has."""
+        # Looked at only here: the arrays can't grow while numpy looks at them.
+        ids, ends = np.frombuffer(self._ids, np.uint32) if self._ids else np.zeros(0, np.uint32), np.frombuffer(self._ends, np.int64)
+        lengths = ends[places + 1] - ends[places]
+        return gathered(ids, ends[places], lengths), lengths
+
+
 class Known(dict):
     """What make gave for a key, for at most twice ``limit`` keys: a full generation becomes the old one, and what is asked of it returns."""
 

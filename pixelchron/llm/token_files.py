@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import uuid
@@ -10,29 +11,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Known, Scratch, whole
+from ._common import Scratch, Store, coded, gathered, joined, slices, whole
 from .bpe import byte_chars
 
 #: Stands for a null id in a file of ids.
 NULL_ID = -(1 << 63)
-#: Pieces, and words of pieces, remembered by a worker in each of two generations.
-REMEMBERED = 300_000
+#: Words that a worker remembers between batches.
+REMEMBERED = 600_000
 #: Texts of these characters alone are in NFC, lower-case one character at a time and split alike in every Unicode version.
-SETTLED = regex.compile("[\t-\r\x20-\x7e\xa1-įı-ňŊ-ſ]*")
+SETTLED = regex.compile("[\t-\r\x20-\x7e\xa1-\u012f\u0131-\u0148\u014a-\u017f]*")
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WORDS = regex.compile(SPLIT)
+#: Words of pieces, and what parts the pieces.
+WORDS = regex.compile(SPLIT + "|\n")
+#: Stands for a piece that isn't settled; no settled piece has it.
+ODD = "\0"
 
 
 class Encoder:
     """Encodes as the tokenizers library does with a file, without special tokens of its own.
 
     A file whose normaliser is NFC, white space and lower case, and which keeps the matches of SPLIT, never looks
-    across white space: a worker splits texts there and asks the library once for each new piece. The library's model takes words of
-    settled characters at once; other pieces, and all texts under other files, go through the whole library.
+    across ASCII white space: Arrow splits a batch of texts there and finds the different pieces, and these are taken apart into words at once. The library's model
+    takes each new word of settled characters; other pieces, and all texts under other files, go through the whole library.
     """
 
     def __init__(self, path: str):
@@ -46,35 +51,56 @@ class Encoder:
             spec = json.load(f)
         norm = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        added = spec.get("added_tokens", [])
         self.by_word = norm == ["NFC", "Replace", "Lowercase"] and pre[0].get("pattern") == {"Regex": SPLIT} and pre[0].get("invert") and spec["model"].get("dropout") is None
-        self.added = [x["content"] for x in spec.get("added_tokens", [])]
+        self.by_word = self.by_word and not any(x.get("lstrip") or x.get("rstrip") or x["content"].split() != [x["content"]] for x in added)
+        self.added = [x["content"] for x in added]
         self.size = self.library.get_vocab_size()
         self.to_chars = {b: c for c, b in byte_chars().items()}
-        self.pieces, self.model_words = Known(self._piece, REMEMBERED), Known(self._model_word, REMEMBERED)
+        self.words = Store(self._model_word, ("\n", ODD))
 
-    def use(self, end_id: int) -> int:
-        """Sets the width of ids in bytes."""
-        self.width = 2 if max(self.size - 1, end_id) < 1 << 16 else 4
-        self.form = f"<u{self.width}"
-        return self.width
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.form).tobytes()
-
-    def _model_word(self, word: str) -> bytes:
+    def _model_word(self, word: str) -> list[int]:
         chars = word if word.isascii() else word.encode().decode("latin-1").translate(self.to_chars)
-        return self._pack([x.id for x in self.library.model.tokenize(chars)])
-
-    def _piece(self, piece: str) -> bytes:
-        if SETTLED.fullmatch(piece) and not any(a in piece for a in self.added):
-            return b"".join([self.model_words[w] for w in WORDS.findall(piece.lower())])
-        return self._pack(self.library.encode(piece, add_special_tokens=False).ids)
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text, packed."""
-        if self.by_word and not any(x in text for x in "\x1c\x1d\x1e\x1f"):
-            return b"".join(map(self.pieces.__getitem__, text.split()))
-        return self._pack(self.library.encode(text, add_special_tokens=False).ids)
+        return [x.id for x in self.library.model.tokenize(chars)]
+
+    def _whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def settled(self, text: str) -> bool:
+        return SETTLED.fullmatch(text) is not None and not any(a in text for a in self.added)
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of pieces without white space: a flat array, and where each piece starts and how long it is."""
+        if len(self.words) > REMEMBERED:
+            self.words = Store(self._model_word, ("\n", ODD))
+        words, odd, text = self.words, [], joined(pieces, "\n")
+        if not self.settled(text):
+            each = pieces.to_pylist()
+            fit = [self.settled(p) for p in each]
+            odd = [words.add(self._whole(p)) for p, ok in zip(each, fit, strict=True) if not ok]
+            text = "\n".join(p if ok else ODD for p, ok in zip(each, fit, strict=True))
+        found = WORDS.findall(text.lower())
+        at = words.places(found)
+        at[at == 1] = odd
+        flat, lengths = words.of(at)
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        cuts = np.flatnonzero(at == 0)
+        starts = upto[np.concatenate([[0], cuts + 1])]
+        return flat, starts, upto[np.concatenate([cuts, [len(at)]])] - starts
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts in a flat array, each text's with end_id behind them, and how many each has."""
+        if not self.by_word:
+            ids = [[*self._whole(t), end_id] for t in texts.to_pylist()]
+            return np.array([x for y in ids for x in y], np.uint32), np.array([len(x) for x in ids], np.int64)
+        pieces, at, ends = coded(pc.ascii_split_whitespace(texts))
+        flat, starts, lengths = self.pieces(pieces) if len(pieces) else (np.zeros(0, np.uint32), *[np.zeros(0, np.int64)] * 2)
+        # The end is one more piece, behind the last of each text.
+        flat, starts, lengths = np.append(flat, np.uint32(end_id)), np.append(starts, len(flat)), np.append(lengths, 1)
+        at = np.insert(at, ends, len(starts) - 1)
+        of = lengths[at]
+        upto = np.cumsum(of)[ends + np.arange(len(ends))]
+        return gathered(flat, starts[at], of), np.diff(upto, prepend=0)
 
 
 _loaded: dict[str, Encoder] = {}
@@ -101,38 +127,46 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str | None = None,
     which has one row per part. Each document's ids end with end_id.
 
     Rows are range-partitioned and sorted by id; a task streams its part to files of a name of its own and tells that
-    name, so a task that is run again, or twice, harms nothing. folder is in a store that pyarrow opens: a path or a file:, hdfs: or s3: URI; by
-    default it is in the shared folder. Null text is empty: only end_id. Null ids come first, as NULL_ID in the file. Rows that
-    repeat an id are adjacent, in any order. An empty table has an empty manifest. Other columns aren't read.
+    name, so a task that is run again, or twice, harms nothing, and one that fails deletes what it wrote. folder is in a store that pyarrow opens: a path or a file:, hdfs: or s3: URI; by
+    default it is in the shared folder. Ids must be whole numbers, as the format has 64 bits for each; others are refused. Null text is empty: only end_id. Null ids come first, as NULL_ID in the file. Rows that
+    repeat an id are adjacent, in any order. An empty table has an empty manifest, and a part without rows no files. Other columns aren't read.
     """
+    if df.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} is {df.schema[id_col].dataType.simpleString()}; token files hold 64-bit whole numbers")
     scratch = Scratch(df.sparkSession, "tokens")
     folder = folder or f"{scratch.path}/files"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), _encoder(tokenizer)
-        width = encoder.use(end_id)
-        end = end_id.to_bytes(width, "little")
-        store, root = _store(folder)
-        store.create_dir(root, recursive=True)
-        path, n, offsets, docs = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}", 0, [0], []
-        at = root + path[len(folder) :]
-        with store.open_output_stream(f"{at}.bin") as out:
+        part, encoder, store = TaskContext.get().partitionId(), _encoder(tokenizer), None
+        width = 2 if max(encoder.size - 1, end_id) < 1 << 16 else 4
+        path, n, offsets, docs, out = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}", 0, [np.zeros(1, np.int64)], [], None
+        try:
             for whole_batch in batches:
-                for k in range(0, whole_batch.num_rows, 256):
-                    batch = whole_batch.slice(k, 256)
-                    packed = [encoder.encode(t) + end for t in batch.column(1).to_pylist()]
-                    for x in packed:
-                        n += len(x) // width
-                        offsets.append(n)
-                    out.write(b"".join(packed))
-                    docs.append(np.array([NULL_ID if x is None else x for x in batch.column(0).to_pylist()], "<i8"))
-        if docs:
-            for kind, values in (("idx", np.array(offsets, "<i8")), ("doc", np.concatenate(docs))):
-                with store.open_output_stream(f"{at}.{kind}") as out:
-                    out.write(values.tobytes())
-            yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "n_docs": len(offsets) - 1, "n_tokens": n, "width": width}])
+                for batch in slices(whole_batch, 1):
+                    if out is None:
+                        store, root = _store(folder)
+                        store.create_dir(root, recursive=True)
+                        at = root + path[len(folder) :]
+                        out = store.open_output_stream(f"{at}.bin")
+                    ids, sizes = encoder.encode(batch.column(1), end_id)
+                    out.write(ids.astype(f"<u{width}").tobytes())
+                    offsets.append(n + np.cumsum(sizes))
+                    n += len(ids)
+                    docs.append(pc.fill_null(batch.column(0), NULL_ID).to_numpy())
+            if out is None:
+                return
+            out.close()
+            for kind, values in (("idx", np.concatenate(offsets)), ("doc", np.concatenate(docs))):
+                with store.open_output_stream(f"{at}.{kind}") as file:
+                    file.write(values.astype("<i8").tobytes())
+        except BaseException:
+            for kind in ("bin", "idx", "doc") if store else ():
+                with contextlib.suppress(OSError):
+                    store.delete_file(f"{at}.{kind}")
+            raise
+        yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "n_docs": sum(map(len, docs)), "n_tokens": n, "width": width}])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id")
