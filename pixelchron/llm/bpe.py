@@ -4,26 +4,31 @@ from __future__ import annotations
 
 import heapq
 import json
-import struct
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Known, whole
+from ._common import Store, coded, gathered, slices, whole
 
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Characters of which every Unicode version says the same; a text with others is split by the tokenizers library.
 SETTLED = regex.compile("[\x00-\x1b\x20-\x84\x86-ſ]*")
 #: Words with more bytes than this are merged with a heap: the array is scanned once for each merge.
 SHORT = 256
-#: Words, and words with what is attached to them, remembered by a worker in each of two generations.
-REMEMBERED = 150_000
-BEFORE_SPACE = ["  ", "\t ", "\n ", "\v ", "\f ", "\r ", "\x1c ", "\x1d ", "\x1e ", "\x1f "]
-ODD_SPACE = regex.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
-NONE = 1 << 60
+#: New words of up to so many bytes are merged together, those of equal length in one array.
+TOGETHER = 40
+#: Words that a worker remembers between batches.
+REMEMBERED = 300_000
+#: A white space character before a plain space: the split at plain spaces isn't that of the words then.
+BEFORE_SPACE = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "
+NONE = 1 << 30
 
 
 def byte_chars() -> dict[str, int]:
@@ -50,10 +55,51 @@ class ByteBPE:
         added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         tokens = {i: raw[t] for t, i in model["vocab"].items()} | {i: t.encode() for t, i in added.items()}
         self.tokens = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
-        self.added = {t: struct.pack("<I", i) for t, i in added.items()}
+        self.added = added
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.path, self.known, self.spaced = path, Known(self._word, REMEMBERED), Known(self._spaced, REMEMBERED)
-        self._library = None
+        self.path, self.store, self._library = path, Store(self._word), None
+        # The same for numpy: pairs as sorted numbers, what they rank and give, and the ranks of pairs of bytes as a table.
+        self.size = len(self.tokens)
+        order = sorted(self.pairs, key=lambda p: p[0] * self.size + p[1])
+        self.keys = np.array([a * self.size + b for a, b in order] + [1 << 62], np.int64)
+        self.ranks = np.array([self.pairs[p][0] for p in order] + [NONE], np.int32)
+        self.gives = np.zeros(max([*self.ranks[:-1].tolist(), 0]) + 1, np.int32)
+        self.gives[self.ranks[:-1]] = [self.pairs[p][1] for p in order]
+        self.first = np.array(self.of_byte, np.int32)
+        self.of_bytes = self.rank(self.first[:, None], self.first[None, :])
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What merging a with b ranks, NONE if they don't merge."""
+        key = a.astype(np.int64) * self.size + b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+
+    def merge_together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """merge for many words of equal length, a row of parts and a row of ranks for each: their ids, one word after another, and how many each has.
+
+        In a round every word's least rank, leftmost first, is sought; its boundary goes, so all words still merging have one part less, and the ranks
+        at both sides are looked up again. Words without a rank leave.
+        """
+        raw = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
+        parts, ranks, rows = self.first[raw], self.of_bytes[raw[:, :-1], raw[:, 1:]], np.arange(len(words))
+        out, lengths = np.zeros(raw.shape, np.int32), np.zeros(len(words), np.int64)
+        while len(rows):
+            width = parts.shape[1]
+            at = ranks.argmin(axis=1) if width > 1 else np.zeros(len(rows), np.int64)
+            least = ranks[np.arange(len(rows)), at] if width > 1 else np.full(len(rows), NONE)
+            live = least < NONE
+            out[rows[~live], :width], lengths[rows[~live]] = parts[~live], width
+            parts, ranks, rows, at, least = parts[live], ranks[live], rows[live], at[live], least[live]
+            if not len(rows):
+                break
+            each, below = np.arange(len(rows)), np.arange(width - 1)
+            parts = np.take_along_axis(parts, below + (below > at[:, None]), 1)
+            parts[each, at] = self.gives[least]
+            ranks = np.take_along_axis(ranks, below[:-1] + (below[:-1] >= at[:, None]), 1)
+            left, right = at > 0, at < width - 2
+            ranks[each[left], at[left] - 1] = self.rank(parts[each[left], at[left] - 1], parts[each[left], at[left]])
+            ranks[each[right], at[right]] = self.rank(parts[each[right], at[right]], parts[each[right], at[right] + 1])
+        return out[np.arange(out.shape[1]) < lengths[:, None]], lengths
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word.
@@ -105,36 +151,82 @@ class ByteBPE:
         at = byte_chars()
         return [bytes(at[c] for c in w).decode() for w, _ in self._library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _word(self, word: str) -> bytes:
-        ids = self.merge(word.encode())
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _spaced(self, part: str) -> bytes:
-        known = self.known
-        return b"".join([known[w] for w in self.words(" " + part)])
-
-    def plain(self, text: str) -> bytes:
-        """Ids of a text without special tokens.
+    def _word(self, word: str) -> list[int]:
+        return self.merge(word.encode())
+
+    def learn(self, words: set[str]) -> None:
+        """Adds new words to the store, short ones of equal length together."""
+        if len(self.store) > REMEMBERED:
+            self.store = Store(self._word)
+        store, by_length = self.store, defaultdict(list)
+        for w in words:
+            if w not in store:
+                by_length[len(w.encode())].append(w)
+        for n, some in by_length.items():
+            for k in range(0, len(some) if n <= TOGETHER else 0, 8192):
+                part = some[k : k + 8192]
+                store.add_all(part, *self.merge_together([*map(str.encode, part)]))
+
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of pieces, each split into words by itself: a flat array, and where each piece starts and how long it is."""
+        words = [*map(WORDS.findall, pieces)] if SETTLED.fullmatch("".join(pieces)) else [*map(self.words, pieces)]
+        flat = [*chain.from_iterable(words)]
+        self.learn(set(flat))
+        ids, lengths = self.store.of(self.store.places(flat))
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        ends = upto[np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]
+        starts = np.concatenate([[0], ends[:-1]])
+        return ids, starts, ends - starts
+
+
+    def _special(self, text: str) -> list[int]:
+        some = [x for x in (self.special.split(text) if self.special else [text]) if x]
+        ids, starts, lengths = self.pieces([x for x in some if x not in self.added])
+        plain = iter(zip(starts.tolist(), lengths.tolist(), strict=True))
+        out: list[int] = []
+        for x in some:
+            if x in self.added:
+                out.append(self.added[x])
+            else:
+                at, n = next(plain)
+                out.extend(ids[at : at + n].tolist())
+        return out
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts in a flat array, and how many each has.
 
         Where no white space stands before a plain space, a word with the space before it is split from its neighbours
-        in any case, so that text is taken apart at spaces, and each part is looked up as a whole.
+        in any case. So Arrow takes texts apart at plain spaces and finds the different parts, and each is split and merged once. Other texts,
+        and those with a special token, are pieces as a whole.
         """
-        known = self.known
-        if any(x in text for x in BEFORE_SPACE) or not text.isascii() and ODD_SPACE.search(text):
-            return b"".join([known[w] for w in self.words(text)])
-        first, *rest = text.split(" ")
-        spaced = self.spaced
-        return b"".join([*(known[w] for w in self.words(first)), *(spaced[x] for x in rest)])
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text, as little-endian unsigned 32-bit integers."""
-        if self.special is None or not self.special.search(text):
-            return self.plain(text)
-        return b"".join(self.added[x] if x in self.added else self.plain(x) for x in self.special.split(text) if x)
-
-    def decode(self, ids: bytes) -> str:
-        """The text of ids, special tokens included; bytes that aren't UTF-8 become U+FFFD."""
-        return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I").tolist())).decode("utf-8", "replace")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        odd = pc.match_substring_regex(texts, BEFORE_SPACE)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(odd):
+            texts_here = pc.if_else(pa.array(np.isin(np.arange(len(texts)), odd)), "", texts)
+            special = [self._special(texts[int(k)].as_py()) for k in odd]
+        else:
+            texts_here, special = texts, []
+        parts, at, ends = coded(pc.split_pattern(texts_here, " "))
+        first = np.concatenate([[0], ends[:-1]])
+        parts = parts.to_pylist()
+        # The first part of a text has no space before it.
+        starts_of = [parts[k] for k in at[first].tolist()]
+        at[first] = len(parts) + np.arange(len(first))
+        ids, starts, lengths = self.pieces([*(" " + x for x in parts), *starts_of])
+        if special:
+            starts[len(parts) + odd] = len(ids) + np.cumsum([0, *map(len, special[:-1])])
+            lengths[len(parts) + odd] = [*map(len, special)]
+            ids = np.concatenate([ids, np.array([x for y in special for x in y], np.uint32)])
+        of = lengths[at]
+        return gathered(ids, starts[at], of), np.diff(np.concatenate([[0], np.cumsum(of)])[ends], prepend=0)
+
+    def decode_all(self, ids: np.ndarray, ends: list[int]) -> list[str]:
+        """The texts of ids, special tokens included, cut at ends; bytes that aren't UTF-8 become U+FFFD."""
+        return [b"".join(map(self.tokens.__getitem__, ids[a:b].tolist())).decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
 
 _loaded: dict[str, ByteBPE] = {}
@@ -158,13 +250,13 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path)
         for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, 512):
-                batch = whole_batch.slice(at, 512)
-                ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
-                columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-                names = ["id", "n_tokens", "ids"]
+            for batch in slices(whole_batch, 1, 8 << 20):
+                flat, sizes = bpe.encode_all(batch.column(1))
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((4 * ends).astype(np.int32).tobytes()), pa.py_buffer(flat.astype("<u4").tobytes())])
+                columns, names = [batch.column(0), pa.array(sizes, pa.int64()), ids], ["id", "n_tokens", "ids"]
                 if decoded:
-                    columns.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
+                    columns.append(pa.array(bpe.decode_all(flat, ends.tolist()), pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
