@@ -20,10 +20,10 @@ from pixelchron.llm.lm_scoring import score_documents
 from pixelchron.llm.mixing import mix, source_targets
 from pixelchron.llm.near_dedup import near_duplicates
 from pixelchron.llm.quality_classifier import classify_quality, isotonic, keep_quality, text_statistics
-from pixelchron.llm.quality_rules import RULES, apply_rules, order_rules
+from pixelchron.llm.quality_rules import RULES, apply_rules, greedy, order_rules
 from pixelchron.llm.secret_scan import labelled_findings, scan_secrets, train_forest
 from pixelchron.llm.sharding import shard_documents, smallest_capacity
-from pixelchron.llm.token_files import read_token_files, write_token_files
+from pixelchron.llm.token_files import Encoder, read_token_files, write_token_files
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE = re.compile(r"[\x20\x09-\x0D]")
@@ -145,10 +145,32 @@ def test_quality_rules(docs, none):
     assert rows_of(got, "doc_id", *columns) == sorted(([i, *plain(t)] for i, t, _ in ROWS), key=repr)
     assert got.filter("kept and base_failed").count() == 0 and got.filter("not base_failed and kept = (failed_rule is not null)").count() == 0
     order = order_rules(docs, RULES)
-    assert sorted(n for n, _, _ in order) == sorted(RULES) and [s / c for _, c, s in order] == sorted((s / c for _, c, s in order), reverse=True)
+    assert sorted(n for n, _, _ in order) == sorted(RULES) and all(c > 0 and 0 <= s <= 1 for _, c, s in order)
+    names = [n for n, _, _ in order]
+    # Any order, also one of ties, gives the same verdicts.
+    assert rows_of(apply_rules(docs, order=names[::-1]), "doc_id", "kept") == rows_of(apply_rules(docs, order=sorted(names)), "doc_id", "kept") == rows_of(got, "doc_id", "kept")
     assert apply_rules(none).count() == 0
 
 
+def test_rules_reject_as_plain(spark):
+    texts = ["word " * 60, "# " * 30 + "a b c d e f g h i j", "go! now! stop! why! who! what! when! where! how! never! again! maybe", "ALL OF THIS TEXT IS WRITTEN IN CAPITAL LETTERS ONLY FOR NO GOOD REASON", "1 22 333 4444 55555 666 77 8 99 100 2000 30000 4 five", "\n".join(["same line here"] * 2 + [""] * 9 + ["another one now and then"]), prose(30), "ÄÖÜ ÉÈ ß ñandú " + prose(12)]
+
+    def plain(t):
+        w, ls = WORD.findall(t), t.split("\n")
+        letters, chars = sum(map(str.isalpha, t)), sum(map(len, w))
+        rules = [10 * len(re.findall(r"[#*$%&|<>]", t)) > 3 * len(w), 10 * t.count("!") > 5 * len(w), 2 * sum(map(str.isupper, t)) > letters, 2 * letters < chars, len(w) >= 50 and 10 * len(set(w)) < len(w) and len(set(w)) < 40, len(ls) >= 5 and 2 * len(set(ls)) < len(ls)]
+        return not (len(w) < 10 or 100 * repeats(w) > 20 * len(w) or any(rules))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows_of(apply_rules(df), "doc_id", "kept") == [[i, plain(t)] for i, t in enumerate(texts)]
+
+
+def test_order_takes_most_rejected_for_the_cost_of_what_is_left():
+    f = frozenset
+    order = greedy({"a": 1.0, "b": 1.0, "c": 3.0, "d": 1.0}, {f("ab"): 50, f("a"): 10, f("bc"): 5, f("c"): 30, f(): 5})
+    assert [x[0] for x in order] == ["a", "c", "b", "d"] and order[0][2] == 0.6 and order[1][2] == 35 / 40
+
+
 def plain_near(rows, percent):
     def shingles(t):
         w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
@@ -194,6 +216,47 @@ def test_near_dedup_of_a_large_group_equals_all_pairs(spark, monkeypatch, small)
     assert got == sorted(plain_near(rows, 80), key=repr) and len({r[2] for r in got}) > 1
 
 
+def test_near_dedup_of_two_thousand_variants(spark):
+    base, rows = [f"v{i}" for i in range(150)], []
+    for k in range(2000):
+        w = list(base)
+        for j in rng.integers(0, 150, rng.integers(0, 7)):
+            w[j] = f"n{rng.integers(0, 60 if k % 3 else 10**6)}"
+        rows.append((k, " ".join(w)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for _, t in rows]
+    at = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((2000, len(at)), np.float32)
+    for k, s in enumerate(sets):
+        has[k, [at[g] for g in s]] = 1
+    common, n = has @ has.T, has.sum(axis=1)
+    linked = 100 * common >= 85 * (n[:, None] + n[None, :] - common)
+    root = np.arange(2000)
+    while (least := np.where(linked, root[None, :], 2000).min(axis=1)).tolist() != root.tolist():
+        root = least
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == list(enumerate(root.tolist()))
+    assert len(set(root.tolist())) > 100
+
+
+def test_what_a_family_compares_is_far_below_all_pairs(spark, monkeypatch):
+    seen = {}
+
+    def counted(star, percent, pairs=near_dedup.delta_pairs):
+        out = pairs(star, percent)
+        seen.update(classes=star.count(), members=star.agg(F.sum(F.size("members"))).first()[0], pairs=out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "delta_pairs", counted)
+    base, rows = [f"v{i}" for i in range(150)], []
+    for k in range(600):
+        w = list(base)
+        for j in rng.integers(0, 150, 1 + k % 8):
+            w[j] = f"x{rng.integers(0, 10**6)}"
+        rows.append((k, " ".join(w)))
+    near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).count()
+    assert seen["members"] <= seen["classes"] * 28 and seen["classes"] < 2 * 600 and seen["pairs"] < 600 * 600 / 20
+
+
 def test_secret_scan(spark, docs, none):
     key = "AKIA" + "Q7XW2ZP9LM4RT8VB"
     df = spark.createDataFrame([(1, f"my key {key} is here", "src0"), (2, "commit 9fceb02d0ae598e95dc970b74767f19372d61af8 fixes it", "docs/a.md"), (3, None, None), (4, "plain words only " * 500, "web")], "doc_id long, text string, source string")
@@ -290,6 +353,27 @@ def test_token_files_round_trip(docs, none):
     assert read_token_files(write_token_files(none, path)).count() == 0
 
 
+def test_token_encoder_equals_the_library_on_odd_texts():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    t.no_padding()
+    t.no_truncation()
+    odd = ["", " ", "\n\n", "a\0b", "\0", "x\x1cy \x1d", "e\u0301 a\u0308", "\u0301 alone", "İSTANBUL ŉ ſ", "no\u00a0break\u2003wide", "don't WE'LL it's 'S", "1234 ½ ²", "日本語 テキスト", "🎉🎉 x🎉", "<unk> [UNK]<s></s>", *(x or "" for x in TEXTS)]
+    encoder = Encoder(path)
+    for some in (odd, odd[::-1], [""], []):
+        ids, sizes = encoder.encode(pa.array(some, pa.string()), 1)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in some]
+
+
+def test_token_files_refuse_ids_that_are_not_numbers(spark):
+    with pytest.raises(TypeError):
+        write_token_files(spark.createDataFrame([("b", "x")], "doc_id string, text string"), "unused")
+
+
 def test_bpe_equals_the_library(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -306,3 +390,23 @@ def test_bpe_equals_the_library(docs, none):
     bpe = ByteBPE(path)
     assert all(bpe.merge(w) == bpe.merge_long(w) for w in (b"", b"a", b"hello", b"x" * 90, "日本語テキスト".encode() * 5))
     assert encode_documents(none, path).count() == 0
+
+
+def test_merging_together_equals_one_by_one_and_the_library():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    bpe, t = ByteBPE(path), Tokenizer.from_file(path)
+    t.no_padding()
+    t.no_truncation()
+    for n in (1, 2, 7, 23):
+        words = [bytes(rng.choice(list(b"aeiounrst the"), n).tolist()) for _ in range(200)]
+        ids, sizes = bpe.merge_together(words)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == [bpe.merge(w) for w in words]
+    odd = ["", " ", "  ", " a", "a ", "a  b", "a\n b", "\u00a0 x", "x\u3000 y", "<|endoftext|>", "a<|endoftext|> b <|endoftext|>", "e\u0301 İ ŉ", "日本語 テキスト", "it's 'S we'LL", "tab\tsep\n\nline", "x" * 300, "🎉 🎉🎉", "\x85 \x1c \0", *(x or "" for x in TEXTS)]
+    for some in (odd, odd[::-1], [""], ["a  b"], []):
+        ids, sizes = bpe.encode_all(pa.array(some, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == [t.encode(x, add_special_tokens=False).ids for x in some]
+        assert bpe.decode_all(ids, [0, *np.cumsum(sizes).tolist()]) == [t.decode(t.encode(x, add_special_tokens=False).ids, skip_special_tokens=False) for x in some]
