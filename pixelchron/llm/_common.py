@@ -19,9 +19,12 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and all runs in one process, a folder of our own; elsewhere that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="pixelchron-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -49,6 +52,10 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         path.getFileSystem(conf).delete(path, True)
 
+    def read_by(self, df: DataFrame) -> bool:
+        """Whether df is still to be computed from these tables."""
+        return any(self.path.rpartition("/")[2] in f for f in df.inputFiles())
+
     @classmethod
     def release_all(cls) -> None:
         """Deletes the tables of all earlier operator calls, once nothing lazy reads them any more."""

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, whole, without_spaces
 
-#: Bytes that the first split looks at; each later split looks at three times what is behind it.
-FIRST_BYTES = 256
+#: Bytes that the first split looks at; each later split looks at three times what is behind it, but at MOST_BYTES at most, so that no key is longer.
+FIRST_BYTES, MOST_BYTES = 256, 1 << 20
 
 
 def normalised(text: str) -> Column:
@@ -23,9 +23,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     document, and a group whose texts end within those bytes, is done. Equality is that of all bytes: nothing is hashed
     to decide it. A round counts its children with a map-side combine, so a group of copies of any size never meets
     in one task, and only documents of open groups of two or more go on, so later rounds read what is still equal so far.
-    Bytes grow fourfold a round: the longest text of an open group sets the number of rounds, by its logarithm.
+    Bytes grow fourfold a round up to MOST_BYTES: the longest text of an open group sets the number of rounds.
 
-    Of a group the row with the most code points, then the smallest id, stays. Null text is empty; empty texts are
+    Of a group the row with the most code points, then the smallest id, of any type that has an order, stays. Null text is empty; empty texts are
     equal to each other and to texts of spaces. A null id comes after all others. Rows that repeat an id count each for themselves
     and kept is true on each that carries the id kept. An empty table gives an empty result. Other columns
     of df are read only if carry names them, whatever they are called.
@@ -37,9 +37,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     while True:
         keyed = rows.withColumns({"_piece": F.substring(F.col("_n").cast("binary"), lo + 1, hi - lo), "_ended": F.octet_length("_n") <= hi})
         keys = ["_node", "_piece", "_ended"]
-        best = F.max(F.struct("_cp", (-F.col("_id")).alias("_neg")))
+        best = F.min(F.struct((-F.col("_cp")).alias("_less"), F.col("_id").isNull().alias("_null"), F.col("_id").alias("_keep")))
         nodes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), best.alias("_best")).filter("_size > 1")
-        nodes = scratch.table(nodes.select(*keys, "_size", (-F.col("_best._neg")).alias("_keep"), F.monotonically_increasing_id().alias("_child")), f"nodes{n_round}")
+        nodes = scratch.table(nodes.select(*keys, "_size", F.col("_best._keep").alias("_keep"), F.monotonically_increasing_id().alias("_child")), f"nodes{n_round}")
         step = keyed.join(nodes, keys, "left")
         is_open = F.col("_child").isNotNull() & ~F.col("_ended")
         step = step.select("_id", "_carry", F.when(is_open, F.col("_n")).alias("_n"), "_cp", F.when(is_open, F.col("_child")).alias("_node"), F.when(F.col("_child").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("_keep"), F.coalesce("_size", F.lit(1)).cast("long").alias("_size"))
@@ -50,7 +50,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         rows = step.filter("_node is not null").select("_id", "_carry", "_n", "_cp", "_node")
         if rows.isEmpty():
             break
-        lo, hi, n_round = hi, hi * 4, n_round + 1
+        lo, hi, n_round = hi, min(hi * 4, hi + MOST_BYTES), n_round + 1
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
