@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pixelchron.llm import exact_dedup as exact_dedup_module
 from pixelchron.llm import near_dedup
 from pixelchron.llm._common import Scratch
 from pixelchron.llm.bpe import ByteBPE, encode_documents, token_digests
@@ -73,6 +74,16 @@ def test_exact_dedup_equals_plain(docs, none):
     assert kept.columns == docs.columns and kept.filter("text is not null").select(F.regexp_replace("text", "[ \t\n]", "")).distinct().count() >= len(groups) - 1
 
 
+def test_exact_dedup_takes_ids_of_any_order(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup_module, "MOST_BYTES", 5)
+    rows = [("b", "x y"), ("a", "xy"), (None, "x  y"), ("c", "q" * 50), ("d", "q" * 50 + " "), ("e", "q" * 49)]
+    got = rows_of(exact_dedup(spark.createDataFrame(rows, "doc_id string, text string"), first_bytes=2), "doc_id", "keep_id", "group_size")
+    assert got == sorted([["b", None, 3], ["a", None, 3], [None, None, 3], ["c", "d", 2], ["d", "d", 2], ["e", "e", 1]], key=repr)
+    least = -(1 << 63)
+    got = exact_dedup(spark.createDataFrame([(least, "same"), (5, "same")], "doc_id long, text string"))
+    assert {r["keep_id"] for r in got.collect()} == {least}
+
+
 def test_sharding_is_minimax(spark, docs, none):
     got = [r.asDict() for r in shard_documents(docs, 3).collect()]
     assert len(got) == len(ROWS) and {r["law"] for r in got} == {"bytes"}
@@ -91,6 +102,14 @@ def test_sharding_is_minimax(spark, docs, none):
         by_text.setdefault(r["text_crc32"], set()).add(r["shard"])
     assert all(len(s) == 1 for s in by_text.values())
     assert {r["doc_id"]: r["text_crc32"] for r in got}[4] == zlib.crc32(b"abc")
+    # Groups in order of their first id, cut so that the largest shard is as small as three shards allow; each shard is a run of groups.
+    order = sorted(groups, key=firsts.get)
+    sizes, upto = [groups[t] for t in order], np.cumsum([0, *(groups[t] for t in order)])
+    best = min(max(upto[a], upto[b] - upto[a], upto[-1] - upto[b]) for a in range(len(sizes) + 1) for b in range(a, len(sizes) + 1))
+    assert max(loads.values()) == best
+    crc = {zlib.crc32(t.encode()): k for k, t in enumerate(order)}
+    shards = [s for _, s in sorted({(crc[r["text_crc32"]], r["shard"]) for r in got})]
+    assert shards == sorted(shards) and len(shards) == len(order)
     assert shard_documents(none, 3).count() == 0
 
 
