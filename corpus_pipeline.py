@@ -3,11 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; ``run`` writes each result as Parquet and
 reads it for the next. All but the last return the columns of docs. Both deduplications tell rows apart by a key of their own, so null and
 repeated ids do no harm; mixing goes by id and text digest, and of rows that agree in both it repeats all as it repeats one.
+
+In every stage a null text is an empty one: the classifier scores it as it scores empty texts, the deduplications keep one such row (exact) and link it with nothing
+(near), the mix never takes it, as it has no words. Null sources are a source. Texts of any length are read whole. An empty table passes through as an empty table. Extra
+columns are carried along, whatever they are called.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,22 +28,26 @@ _stale: list[Scratch] = []
 
 
 def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """Drops the scratch tables of the stage before, whose result is written by now."""
+    """Drops the scratch tables of earlier stages, unless docs is still to be computed from them: stages may also be chained before anything is written."""
 
+    @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _stale:
-            _stale.pop().drop()
+        needed = [s for s in _stale if s.read_by(docs)]
+        for s in _stale:
+            if s not in needed:
+                s.drop()
         mark = len(Scratch._open)
         out = f(spark, docs, sf_dir)
-        _stale.extend(Scratch._open[mark:])
+        _stale[:] = [*needed, *Scratch._open[mark:]]
         del Scratch._open[mark:]
         return out
 
     return run_stage
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.sha2(whole("text").cast("binary"), 256))
+def _private(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns as c0, c1 and so on, so that none clashes with ours, and their new names."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), {c: f"c{i}" for i, c in enumerate(docs.columns)}
 
 
 @_stage
@@ -66,10 +75,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mix does: not at all, once or twice."""
-    rows = _keyed(docs)
-    times = mix(rows, key_col="_key").filter("times > 0").groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_taken_key")).agg(F.max("times").alias("_times"))
-    taken = rows.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_taken_key")))
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    rows, at = _private(docs)
+    rows = rows.withColumn("_key", F.sha2(whole(at["text"]).cast("binary"), 256))
+    times = mix(rows, at["doc_id"], at["text"], at["source"], key_col="_key").filter("times > 0")
+    times = times.groupBy(F.col(at["doc_id"]).alias("_id"), F.col("_key").alias("_taken")).agg(F.max("times").alias("_times"))
+    taken = rows.join(times, F.col(at["doc_id"]).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_taken")))
+    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), "_times"))).select(*at.values()).toDF(*docs.columns)
 
 
 @_stage
@@ -82,7 +93,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", quality), ("exact_dedup", exact), ("minhash_near_dedup", near), ("mixing", mixed), ("bpe", token_ids)]
 
-#: The quality classifier isn't SQL; tests hold the stages against brute-force versions.
+#: The quality classifier isn't SQL; tests/llm/test_corpus_queries.py holds each stage's rows against a plain Python version.
 ORACLE_SQL = None
 
 
