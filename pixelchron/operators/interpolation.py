@@ -34,15 +34,38 @@ def time_grid(df: DataFrame, step: int = 16, unit: str = "day", ts: str = "ts",
     return rows.select(F.col("k").cast("int").alias("k"), "t")
 
 
-def reach(df: DataFrame, start: Column, end: Column, step_ms: int, window_ms: int, ts: str = "ts") -> DataFrame:
-    """Each observation once for each step k of start + k * step_ms, up to end, that is at most window_ms away: k, delta (days, signed)."""
+def step_at(start: Column, k: Column, step: int, unit: str) -> Column:
+    """Milliseconds of step k. Months and years are those of the calendar, with the start's day and time of day; a month without that day gives its last."""
+    if unit == "day":
+        return start + k.cast("long") * step * MS_DAY
+    day = F.floor(start / MS_DAY)
+    months = (k * step * (12 if unit == "year" else 1)).cast("int")
+    moved = F.add_months(F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int")), months)
+    return F.datediff(moved, F.lit("1970-01-01").cast("date")).cast("long") * MS_DAY + (start - day * MS_DAY)
+
+
+def reach(df: DataFrame, start: Column, end: Column, step: int, window_ms: int, ts: str = "ts", unit: str = "day") -> DataFrame:
+    """Each observation once for each step k of the grid from start, up to end, that is at most window_ms away: k, delta (days, signed).
+
+    For months and years the steps come from the calendar months between, one more on either side, and those out of reach go.
+    """
     t = ms(ts)
-    low = F.greatest(F.ceil((t - window_ms - start) / step_ms), F.lit(0))
-    high = F.least(F.floor((t + window_ms - start) / step_ms), F.floor((end - start) / step_ms))
-    rows = df.withColumns({"_lo": low.cast("int"), "_hi": high.cast("int"), "_t": t}).filter("_lo <= _hi")
+    if unit == "day":
+        low, high = F.ceil((t - window_ms - start) / (step * MS_DAY)), F.least(F.floor((t + window_ms - start) / (step * MS_DAY)), F.floor((end - start) / (step * MS_DAY)))
+    else:
+        months = step * (12 if unit == "year" else 1)
+
+        def since(x: Column) -> Column:
+            day, first = (F.date_add(F.lit("1970-01-01").cast("date"), F.floor(c / MS_DAY).cast("int")) for c in (x, start))
+            return (F.year(day) - F.year(first)) * 12 + F.month(day) - F.month(first)
+
+        low, high = F.floor(since(t - window_ms) / months), F.ceil(since(t + window_ms) / months)
+    rows = df.withColumns({"_lo": F.greatest(low, F.lit(0)).cast("int"), "_hi": high.cast("int"), "_t": t}).filter("_lo <= _hi")
     rows = rows.withColumn("k", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
-    at = start + F.col("k").cast("long") * step_ms
-    return rows.withColumns({"t_ms": at, "delta": (F.col("_t") - at) / float(MS_DAY)}).drop("_t")
+    rows = rows.withColumn("t_ms", step_at(start, F.col("k"), step, unit)).withColumn("delta", (F.col("_t") - F.col("t_ms")) / float(MS_DAY))
+    if unit != "day":
+        rows = rows.filter((F.abs(F.col("_t") - F.col("t_ms")) <= window_ms) & (F.col("t_ms") <= end))
+    return rows.drop("_t")
 
 
 def gaussian(delta: Column, sigma: float) -> Column:
@@ -75,24 +98,24 @@ def blend(values: list[Column], counts: list[Column], bw1: float, bw2: float, re
     return F.when(bottom > 0, top / bottom)
 
 
-def rbf(df: DataFrame, bands: list[str], sigmas: tuple[float, ...] = (16,), windows: tuple[float, ...] = (16,), step_days: int = 16, bw1: float = 4, bw2: float = 8, keys: tuple[str, ...] = KEYS, ts: str = "ts", january: bool = False, bounds: tuple[int, int] | None = None, renormalise: bool = False, per_key: bool = False, whole_days: bool = False) -> DataFrame:
+def rbf(df: DataFrame, bands: list[str], sigmas: tuple[float, ...] = (16,), windows: tuple[float, ...] = (16,), step_days: int = 16, bw1: float = 4, bw2: float = 8, keys: tuple[str, ...] = KEYS, ts: str = "ts", january: bool = False, bounds: tuple[int, int] | None = None, renormalise: bool = False, per_key: bool = False, whole_days: bool = False, unit: str = "day", every_window: bool = True) -> DataFrame:
     """1RBF, 2RBF and 3RBF by the number of sigmas: per pixel and step k, t_ms, the band's weighted means, blended.
 
-    Each band is divided by the weights of its own valid observations. Steps that no observation reaches are absent. The grid is that of all
+    Each band is divided by the weights of its own valid observations. A step stays if every window holds an observation of the pixel, valid or not; with every_window false, if any does. The grid is that of all
     observations, of bounds, or, with per_key, of each key, with one step beyond its last observation. whole_days measures from calendar day to calendar day.
     """
-    step = step_days * MS_DAY
     if whole_days:
         df = df.withColumn(ts, F.date_trunc("day", ts))
     if per_key:
         spans = df.groupBy(*keys).agg(F.min(ms(ts)).alias("_s"), F.max(ms(ts)).alias("_e"))
         df = df.join(spans, [*keys])
+        step = step_days * MS_DAY
         start, end = F.col("_s"), F.col("_s") + F.ceil((F.col("_e") - F.col("_s")) / step) * step
     else:
         a, b = bounds or grid_bounds(df, ts, january)
         start, end = F.lit(a).cast("long"), F.lit(b).cast("long")
-    rows = reach(df, start, end, step, int(max(windows) * MS_DAY), ts)
-    sums = []
+    rows = reach(df, start, end, step_days, int(max(windows) * MS_DAY), ts, unit)
+    sums = [F.max((F.abs(F.col("delta")) <= float(w)).cast("int")).alias(f"_in{i}") for i, w in enumerate(windows)]
     for i, (s, w) in enumerate(zip(sigmas, windows, strict=True)):
         inside = F.abs(F.col("delta")) <= float(w)
         for b in bands:
@@ -100,6 +123,8 @@ def rbf(df: DataFrame, bands: list[str], sigmas: tuple[float, ...] = (16,), wind
             sums += [F.sum(F.col(b) * weight).alias(f"_v{i}_{b}"), F.sum(weight).alias(f"_w{i}_{b}"), F.count(weight).alias(f"_n{i}_{b}")]
     out = rows.groupBy(*keys, "k", "t_ms").agg(*sums)
     n = range(len(sigmas))
+    if every_window:
+        out = out.filter(" and ".join(f"_in{i} = 1" for i in n))
     return out.select(*keys, "k", "t_ms", *(blend([F.try_divide(F.col(f"_v{i}_{b}"), F.col(f"_w{i}_{b}")) for i in n], [F.col(f"_n{i}_{b}") for i in n], bw1, bw2, renormalise).alias(b) for b in bands))
 
 
@@ -108,7 +133,7 @@ def rbf_frame(df: DataFrame, group: str, bands: list[str], mode: str = "1RBF", s
     n = {"1RBF": 1, "2RBF": 2, "3RBF": 3}[mode]
     if drop_all_null:
         df = df.na.drop("all", subset=bands)
-    values = rbf(df, bands, sigmas[:n], windows[:n], step_days, bw1, bw2, (group,), ts, renormalise=True, per_key=True, whole_days=True)
+    values = rbf(df, bands, sigmas[:n], windows[:n], step_days, bw1, bw2, (group,), ts, renormalise=True, per_key=True, whole_days=True, every_window=False)
     step = step_days * MS_DAY
     spans = df.groupBy(group).agg(F.min(ms(F.date_trunc("day", ts))).alias("_s"), F.max(ms(F.date_trunc("day", ts))).alias("_e"))
     grid = spans.select(group, "_s", F.explode(F.sequence(F.lit(0), F.ceil((F.col("_e") - F.col("_s")) / step).cast("int"))).alias("k"))
@@ -127,14 +152,14 @@ def rbf_arrays(df: DataFrame, values: str, days: str, targets: list[int], sigma:
     return df.withColumn("rbf", F.transform(F.array(*map(F.lit, targets)), at))
 
 
-def linear(df: DataFrame, bands: list[str], step_days: int = 16, window_days: int = 16, keys: tuple[str, ...] = KEYS, ts: str = "ts", january: bool = False, bounds: tuple[int, int] | None = None, half: bool = False) -> DataFrame:
+def linear(df: DataFrame, bands: list[str], step_days: int = 16, window_days: int = 16, keys: tuple[str, ...] = KEYS, ts: str = "ts", january: bool = False, bounds: tuple[int, int] | None = None, half: bool = False, unit: str = "day") -> DataFrame:
     """WLIN: per pixel and step the line between the nearest valid observations before and after, each within the window.
 
     An observation on the step counts on both sides and is the value. half takes the mean of both instead of the line. An as-of join
     on both sides at once: observations are exploded to the steps they reach, and each side keeps the nearest by a struct maximum.
     """
     a, b = bounds or grid_bounds(df, ts, january)
-    rows = reach(df, F.lit(a).cast("long"), F.lit(b).cast("long"), step_days * MS_DAY, window_days * MS_DAY, ts)
+    rows = reach(df, F.lit(a).cast("long"), F.lit(b).cast("long"), step_days, window_days * MS_DAY, ts, unit)
     picks = []
     tie = [F.col("scene_id")] if "scene_id" in df.columns else []
     for x in bands:

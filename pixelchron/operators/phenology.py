@@ -11,14 +11,33 @@ from ..schema import KEYS, MS_DAY, MS_YEAR
 PERCENTILES = {"SOS": 0.15, "SOP": 0.25, "MOS": 0.50, "EOP": 0.75, "EOS": 0.80}
 
 
+def _mean_vector(band: str, ts: str) -> tuple[Column, Column]:
+    angle = doy_to_radians(doy0(ts))
+    return F.avg(F.col(band) * F.cos(angle)), F.avg(F.when(F.col(band).isNotNull(), F.col(band) * F.sin(angle)))
+
+
+def _vector_days(x: Column, y: Column) -> tuple[Column, Column]:
+    """The day of a vector and the day opposite to it."""
+    r = F.atan2(y, x)
+    r = F.when(r <= 0, r + 2 * F.pi()).otherwise(r)
+    return radians_to_doy(r), radians_to_doy(F.when(r >= F.pi(), r - F.pi()).otherwise(r + F.pi()))
+
+
 def polar_vector(df: DataFrame, band: str, keys: list[str], ts: str = "ts") -> DataFrame:
     """Per key RAVG, the day of the mean vector, and THETA, the day opposite to it."""
-    angle = doy_to_radians(doy0(ts))
-    out = df.filter(F.col(band).isNotNull()).groupBy(*keys).agg(F.avg(F.col(band) * F.cos(angle)).alias("_x"), F.avg(F.col(band) * F.sin(angle)).alias("_y"))
-    r = F.atan2("_y", "_x")
-    out = out.withColumn("_r", F.when(r <= 0, r + 2 * F.pi()).otherwise(r))
-    opposite = F.when(F.col("_r") >= F.pi(), F.col("_r") - F.pi()).otherwise(F.col("_r") + F.pi())
-    return out.select(*keys, radians_to_doy(F.col("_r")).alias("RAVG"), radians_to_doy(opposite).alias("THETA"))
+    x, y = _mean_vector(band, ts)
+    out = df.filter(F.col(band).isNotNull()).groupBy(*keys).agg(x.alias("_x"), y.alias("_y"))
+    day, opposite = _vector_days(F.col("_x"), F.col("_y"))
+    return out.select(*keys, day.alias("RAVG"), opposite.alias("THETA"))
+
+
+def with_vector(df: DataFrame, band: str, keys: list[str], ts: str, names: tuple[str, str]) -> DataFrame:
+    """The same beside each row, under names; rows of keys without a value go. A window, so that df is computed once and nothing is joined back."""
+    over = Window.partitionBy(*keys)
+    x, y = _mean_vector(band, ts)
+    df = df.withColumns({"_x": x.over(over), "_y": y.over(over)}).filter("_x is not null")
+    day, opposite = _vector_days(F.col("_x"), F.col("_y"))
+    return df.withColumns({names[0]: day, names[1]: opposite}).drop("_x", "_y")
 
 
 def season_bounds(year: Column, theta: Column, first: Column) -> tuple[Column, Column]:
@@ -34,8 +53,7 @@ def season_windows(df: DataFrame, band: str, years: tuple[int, int], keys: tuple
     Years are exploded from a literal sequence, which each observation leaves by its season's bounds: at most two stay. With adjust the window moves by the difference of the
     season's own THETA, at most max_days, and what stays is in both windows.
     """
-    vector = polar_vector(df, band, list(keys), ts).withColumn("valid_firstyear", (F.col("THETA") < 183).cast("int"))
-    rows = df.join(vector, [*keys]).withColumn("_t", ms(ts))
+    rows = with_vector(df, band, list(keys), ts, ("RAVG", "THETA")).withColumns({"valid_firstyear": (F.col("THETA") < 183).cast("int"), "_t": ms(ts)})
     # The only candidates are the calendar year and its neighbours.
     rows = rows.withColumn("year", F.explode(F.sequence(F.greatest(F.year(ts) - 1, F.lit(years[0])), F.greatest(F.least(F.year(ts) + 1, F.lit(years[1])), F.greatest(F.year(ts) - 1, F.lit(years[0]))))))
     rows = rows.filter(F.col("year").between(*years))
@@ -43,8 +61,7 @@ def season_windows(df: DataFrame, band: str, years: tuple[int, int], keys: tuple
     rows = rows.withColumns({"t_start": start, "t_end": end}).filter("_t >= t_start and _t < t_end")
     if not adjust:
         return rows
-    own = polar_vector(rows, band, [*keys, "year"], ts).select(*keys, "year", F.col("RAVG").alias("RAVG_s"), F.col("THETA").alias("THETA_s"))
-    rows = rows.join(own, [*keys, "year"])
+    rows = with_vector(rows, band, [*keys, "year"], ts, ("RAVG_s", "THETA_s"))
     turn = F.pmod(F.col("THETA_s") - F.col("THETA") + 183, F.lit(365)) - 183
     shift = F.least(F.greatest(turn, F.lit(-max_days)), F.lit(max_days)).cast("long") * MS_DAY
     rows = rows.withColumns({"t_start_adj": F.col("t_start") + shift, "t_end_adj": F.col("t_end") + shift})

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.reducers import reduce_bands
 
-#: Upper left corner and size in metres of continental 150 km grids in their own equal-area projections.
+# Upper left corner in metres, columns and rows of continental 150 km grids in their own equal-area projections.
 CONTINENT_GRIDS = {"AF": (-5312270.0, 3707205.0, 69, 58), "AN": (-3662210.0, 2654564.0, 50, 36), "AS": (-4805840.0, 5190735.0, 67, 62), "EU": (-5505560.0, 3346245.0, 61, 38), "NA": (-7633670.0, 5076465.0, 84, 62), "OC": (-6961010.0, 4078425.0, 90, 54), "SA": (-5918450.0, 3852105.0, 76, 65)}
 
 
@@ -56,15 +57,39 @@ def continent_tiles(spark: SparkSession, continent: str, size: float = 150_000)
     return tile_grid(spark, x, y, math.ceil(columns * per), math.ceil(rows * per), size, f"{continent}_", tuple(k for k in (150, 300, 600, 1200) if k * 1000 >= size)).withColumn("continent", F.lit(continent))
 
 
+def _edges(ring: Column, per_edge) -> Column:
+    """per_edge(p, q) of each vertex p of a ring, an array of structs x, y, and the next one."""
+    n = F.size(ring)
+    return F.transform(ring, lambda p, i: per_edge(p, F.get(ring, F.when(i == n - 1, 0).otherwise(i + 1))))
+
+
+def _crossings(x: Column, y: Column, ring: Column) -> Column:
+    def crosses(p: Column, q: Column) -> Column:
+        return F.coalesce(((p["y"] > y) != (q["y"] > y)) & (x < F.try_divide((q["x"] - p["x"]) * (y - p["y"]), q["y"] - p["y"]) + p["x"]), F.lit(False)).cast("int")
+
+    return F.aggregate(_edges(ring, crosses), F.lit(0), lambda a, c: a + c)
+
+
 def inside_polygon(x: Column, y: Column, ring: Column) -> Column:
     """Whether a point is inside a ring, an array of structs x, y (ray casting); an expression, so it stays on the JVM."""
-    n = F.size(ring)
+    return _crossings(x, y, ring) % 2 == 1
+
 
-    def crosses(p: Column, i: Column) -> Column:
-        q = F.get(ring, F.when(i == n - 1, 0).otherwise(i + 1))
-        return ((p["y"] > y) != (q["y"] > y)) & (x < F.try_divide((q["x"] - p["x"]) * (y - p["y"]), q["y"] - p["y"]) + p["x"])
+def inside_rings(x: Column, y: Column, rings: Column) -> Column:
+    """Whether a point is inside a polygon of several rings: outer ones, holes and separate parts, by parity."""
+    return F.aggregate(F.transform(rings, lambda r: _crossings(x, y, r)), F.lit(0), lambda a, c: a + c) % 2 == 1
 
-    return F.aggregate(F.transform(ring, lambda p, i: F.coalesce(crosses(p, i), F.lit(False)).cast("int")), F.lit(0), lambda a, c: a + c) % 2 == 1
+
+def near_rings(x: Column, y: Column, rings: Column, reach_x: Column, reach_y: Column) -> Column:
+    """Whether an edge of the rings is within reach of a point, where reach_x and reach_y are the same length along either axis."""
+
+    def close(p: Column, q: Column) -> Column:
+        ax, ay, bx, by = (p["x"] - x) / reach_x, (p["y"] - y) / reach_y, (q["x"] - p["x"]) / reach_x, (q["y"] - p["y"]) / reach_y
+        t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(-(ax * bx + ay * by), bx * bx + by * by))), F.lit(0.0))
+        dx, dy = ax + t * bx, ay + t * by
+        return dx * dx + dy * dy <= 1
+
+    return F.exists(rings, lambda r: F.exists(_edges(r, close), lambda c: c))
 
 
 def tiles_touching(tiles: DataFrame, boxes: DataFrame, size: float, xmin: float, ymax: float) -> DataFrame:
@@ -75,43 +100,71 @@ def tiles_touching(tiles: DataFrame, boxes: DataFrame, size: float, xmin: float,
     return tiles.join(cells, ["X", "Y"], "left_semi")
 
 
-def zonal(obs: DataFrame, features: DataFrame, bands: list[str], reducers: list[str], key: str = "fid", buffer: float = 0, block: int = 64, image: tuple[str, ...] = ("scene_id", "ts")) -> DataFrame:
-    """Per feature and image <band>_<reducer> over the pixels whose place (px, py) lies in the feature's box, grown by buffer; to a point with a buffer, within that distance.
+def zonal(obs: DataFrame, features: DataFrame, bands: list[str], reducers: list[str], key: str = "fid", buffer: float = 0, block: float = 64, image: tuple[str, ...] = ("scene_id", "ts"), parts: int = 1) -> DataFrame:
+    """Per feature and image <band>_<reducer> over the pixels whose place (px, py) lies in the feature, grown by buffer.
+
+    features has key, xmin, ymin, xmax, ymax; with rings too (see roi.features_table) a feature is its polygons, else its box; a box without extent is a point. Columns
+    buffer_x and buffer_y, where features has them, take the place of buffer: the same length in the units of either axis. To a point or polygon with a
+    buffer belongs what is within that distance. Places without coordinates are in no feature.
 
-    features has key, xmin, ymin, xmax, ymax. Both sides meet on blocks of pixels: an equality join, whatever the features' sizes.
+    Both sides meet on blocks of side block, in the units of the coordinates: an equality join, whatever the features' sizes. A feature is sent to
+    each block that it covers, parts times over; a block's pixels are dealt to the parts, which splits a block that holds very many.
     """
-    grown = features.select(key, *((F.col(c) + s * buffer).alias(f"_{c}") for c, s in (("xmin", -1), ("ymin", -1), ("xmax", 1), ("ymax", 1))), ((F.col("xmin") == F.col("xmax")) & (F.col("ymin") == F.col("ymax"))).alias("_point"), F.col("xmin").alias("_x"), F.col("ymin").alias("_y"))
+    reach = {a: F.col(f"buffer_{a}") if f"buffer_{a}" in features.columns else F.lit(float(buffer)) for a in "xy"}
+    shaped = "rings" in features.columns
+    grown = features.select(key, *((F.col(f"{a}{m}") + s * reach[a]).alias(f"_{a}{m}") for a in "xy" for m, s in (("min", -1), ("max", 1))), *(reach[a].alias(f"_r{a}") for a in "xy"), ((F.col("xmin") == F.col("xmax")) & (F.col("ymin") == F.col("ymax"))).alias("_point"), F.col("xmin").alias("_x"), F.col("ymin").alias("_y"), *([F.col("rings").alias("_rings")] if shaped else []))
     cells = grown.withColumn("_bx", F.explode(F.sequence(F.floor(F.col("_xmin") / block), F.floor(F.col("_xmax") / block)))).withColumn("_by", F.explode(F.sequence(F.floor(F.col("_ymin") / block), F.floor(F.col("_ymax") / block))))
-    rows = obs.withColumns({"_bx": F.floor(F.col("px") / block), "_by": F.floor(F.col("py") / block)}).join(cells, ["_bx", "_by"])
+    on = ["_bx", "_by"]
+    rows = obs.withColumns({"_bx": F.floor(F.col("px") / block), "_by": F.floor(F.col("py") / block)})
+    if parts > 1:
+        rows = rows.withColumn("_part", F.pmod(F.xxhash64("px", "py", *image), F.lit(parts)).cast("int"))
+        cells, on = cells.withColumn("_part", F.explode(F.array(*map(F.lit, range(parts))))), [*on, "_part"]
+    rows = rows.join(cells, on)
     rows = rows.filter(F.col("px").between(F.col("_xmin"), F.col("_xmax")) & F.col("py").between(F.col("_ymin"), F.col("_ymax")))
-    dx, dy = F.col("px") - F.col("_x"), F.col("py") - F.col("_y")
-    rows = rows.filter(~F.col("_point") | (dx * dx + dy * dy <= buffer * buffer))
-    return reduce_bands(rows, [key, *image], bands, reducers)
+    dx, dy, some = (F.col("px") - F.col("_x")) / F.col("_rx"), (F.col("py") - F.col("_y")) / F.col("_ry"), (F.col("_rx") > 0) & (F.col("_ry") > 0)
+    inside = F.when(F.col("_point"), F.coalesce(~some | (dx * dx + dy * dy <= 1), F.lit(True)))
+    if shaped:
+        at = (F.col("px").cast("double"), F.col("py").cast("double"), F.col("_rings"))
+        inside = inside.otherwise(inside_rings(*at) | (some & F.coalesce(near_rings(*at, F.col("_rx"), F.col("_ry")), F.lit(False))))
+    else:
+        inside = inside.otherwise(F.lit(True))
+    return reduce_bands(rows.filter(inside), [key, *image], bands, reducers)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """df, checkpointed where the session names a folder for that, else persisted: a loop's next round doesn't compute it again."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist(StorageLevel.DISK_ONLY)
 
 
 def nearest(points: DataFrame, centres: DataFrame, point_key: str = "id", centre_key: str = "block", cell: float = 1.0) -> DataFrame:
-    """For each point (x, y) the nearest centre (x, y) and the distance; of equals the smallest centre.
+    """For each point (x, y) the nearest centre (x, y) and the distance; of equals the smallest centre. Points and centres without both coordinates take no part.
 
     Centres are gathered in cells; a point looks into its own and the neighbouring cells, and only points that find none within a cell's width
-    are compared with rings further out, doubled until all have found one.
+    go on to a round with cells twice as wide. Cells as wide as all coordinates span end it.
     """
-    spark, out, left = points.sparkSession, None, points.select(point_key, F.col("x").alias("_x"), F.col("y").alias("_y"))
-    around = spark.createDataFrame([(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)], "dx int, dy int")
-    any_centre = not centres.isEmpty()
-    while any_centre:
-        spread = left.select("*", F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))).alias("_o"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.filter(~F.isnan(F.col("x").cast("double")) & ~F.isnan(F.col("y").cast("double")))
+
+    points, centres, out = placed(points), placed(centres), None
+    left = points.select(point_key, F.col("x").alias("_x"), F.col("y").alias("_y"))
+    none = left.select(point_key).limit(0).withColumns({centre_key: F.lit(None).cast(centres.schema[centre_key].dataType), "distance": F.lit(None).cast("double")})
+    span = points.select("x", "y").unionByName(centres.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    if span[0] is None or centres.isEmpty():
+        return none
+    widest, offsets = max(map(float, span)) + cell, F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
+    while True:
+        spread = left.select("*", F.explode(offsets).alias("_o"))
         spread = spread.select(point_key, "_x", "_y", (F.floor(F.col("_x") / cell) + F.col("_o.dx")).alias("_cx"), (F.floor(F.col("_y") / cell) + F.col("_o.dy")).alias("_cy"))
         held = centres.select(F.col(centre_key).alias("_c"), "x", "y", F.floor(F.col("x") / cell).alias("_cx"), F.floor(F.col("y") / cell).alias("_cy"))
-        d = F.sqrt(F.pow(F.col("_x") - F.col("x"), F.lit(2.0)) + F.pow(F.col("_y") - F.col("y"), F.lit(2.0)))
-        found = spread.join(held, ["_cx", "_cy"]).groupBy(point_key).agg(F.min(F.struct(d.alias("d"), F.col("_c").alias("c"))).alias("m"))
-        found = found.filter(F.col("m.d") <= cell).select(point_key, F.col("m.c").alias(centre_key), F.col("m.d").alias("distance"))
+        dx, dy = F.col("_x") - F.col("x"), F.col("_y") - F.col("y")
+        found = spread.join(held, ["_cx", "_cy"]).groupBy(point_key).agg(F.min(F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), F.col("_c").alias("c"))).alias("m"))
+        found = _written(found.filter(F.col("m.d") <= cell).select(point_key, F.col("m.c").alias(centre_key), F.col("m.d").alias("distance")))
         out = found if out is None else out.unionByName(found)
-        left = left.join(found.select(point_key), point_key, "left_anti")
-        if left.isEmpty():
-            break
+        left = _written(left.join(found.select(point_key), point_key, "left_anti"))
+        if cell > 2 * widest or left.isEmpty():
+            return out
         cell *= 2
-    del around
-    return out if out is not None else points.select(point_key).limit(0).withColumns({centre_key: F.lit(None).cast(centres.schema[centre_key].dataType), "distance": F.lit(None).cast("double")})
 
 
 def chunk_points(points: DataFrame, size: float = 10_000, least: int = 10) -> DataFrame:

@@ -70,6 +70,27 @@ def merge_parameters(given: dict | None) -> dict:
     return deepcopy(DEFAULTS) | given
 
 
+def check_parameters(p: dict) -> None:
+    """Refuses what this engine doesn't do, so that no parameter is accepted and then passed over.
+
+    Tables are on the grid that they were written on, so nothing is projected, aligned or resampled on the way, and files go to EXPORT_DIRECTORY alone. CRS says
+    what coordinates are: None, or EPSG:4326, for degrees, anything else for metres. STM_FOLDING_LIST_ITER chose between two ways to one result and may have either value.
+    """
+    for name, why in (("CRS_TRANSFORM", "tables keep their grid"), ("IMG_DIMENSIONS", "tables keep their grid"), ("RESAMPLING_METHOD", "use operators.spatial.resample")):
+        if p[name] is not None:
+            raise ValueError(f"{name} isn't supported: {why}")
+    if p["EXPORT_LOCATION"] != DEFAULTS["EXPORT_LOCATION"]:
+        raise ValueError("EXPORT_LOCATION isn't supported: files go to EXPORT_DIRECTORY")
+    if p["EXPORT_TABLE_METHOD"] not in ("reduceRegions", "reduceRegion"):
+        raise ValueError(f"unknown EXPORT_TABLE_METHOD {p['EXPORT_TABLE_METHOD']}")
+    if p["INTERVAL_UNIT"] not in ("day", "month", "year"):
+        raise ValueError(f"unknown INTERVAL_UNIT {p['INTERVAL_UNIT']}")
+    if not isinstance(p["STM_FOLDING_LIST_ITER"], bool):
+        raise ValueError("STM_FOLDING_LIST_ITER is true or false")
+    if not 1 <= p["EXPORT_TABLE_TILE_SCALE"] <= 64:
+        raise ValueError("EXPORT_TABLE_TILE_SCALE is a number from 1 to 64")
+
+
 def create_parameter_file(path: str | Path, overwrite: bool = False) -> Path:
     """A file of all parameters with their defaults, to edit."""
     path = Path(path)

@@ -1,15 +1,16 @@
 """The whole chain from parameters to products: collections, products per pixel, phenology, export.
 
-A stage takes and returns a dictionary of parameters and products; every product is a lazy DataFrame, so nothing runs until one is
-written or read, and Catalyst sees the chain from scan to product as one plan.
+A stage takes and returns a dictionary of parameters and products; every product is a lazy DataFrame, and Catalyst sees the chain from scan to
+product as one plan. One thing runs as a plan is made: interpolation reads the first and last time of its collection, to know its grid.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.indices import add_features
@@ -20,7 +21,7 @@ from ..operators.unmix import unmix
 from ..schema import HLS, LANDSAT, OPTICAL, QA_BANDS
 from ..sources import roi as regions
 from ..sources import scans
-from .config import load_parameters, merge_parameters
+from .config import check_parameters, load_parameters, merge_parameters
 from .folds import Fold, make_folds
 
 Table = DataFrame | str
@@ -79,7 +80,7 @@ def _sentinel2(spark: SparkSession, p: dict, tables: dict[str, Table], rois: lis
     if how not in (None, "CPLUS", "PROB"):
         raise ValueError(f"unsupported MASKS_S2 {how}")
     linked = {"CPLUS": ("CS_PLUS", ("cs", "cs_cdf")), "PROB": ("CLOUD_PROBABILITY", ("probability",))}.get(how)
-    df = scans.scan_sentinel2(_table(spark, tables, "S2"), rois, period, p["MAX_CLOUD"], *((_table(spark, tables, linked[0]), linked[1]) if linked else ()))
+    df = scans.scan_sentinel2(_table(spark, tables, "S2"), rois, period, p["MAX_CLOUD"], *((_table(spark, tables, linked[0]), linked[1]) if linked else ()), box_only=p["ROI_SIMPLIFY_GEOM_TO_BBOX"])
     if how == "CPLUS":
         return _masked(df, p, masking.cloud_score_valid("cs", p["MASKS_S2_CPLUS"]))
     if how == "PROB":
@@ -94,6 +95,7 @@ def run_level2(params: dict | str, tables: dict[str, Table], spark: SparkSession
     """Adds TSS (and CIC_COLLECTION, TSM_COLLECTION) to the parameters: observations with masked bands, features and mask."""
     spark = spark or SparkSession.active()
     p = merge_parameters(load_parameters(params))
+    check_parameters(p)
     rois, period = regions.parse_roi(p["ROI"]) if p["ROI"] is not None else [], _period(p)
     sensors = list(p["SENSORS"] or [])
     landsat, hls = [s for s in sensors if s in LANDSAT], [s for s in sensors if s in HLS or s == "HLS"]
@@ -101,7 +103,7 @@ def run_level2(params: dict | str, tables: dict[str, Table], spark: SparkSession
         raise ValueError(f"unknown sensors: {unknown}")
     frames = []
     if landsat:
-        df = scans.scan_landsat({s: _table(spark, tables, s) for s in landsat}, landsat, rois, period, p["MAX_CLOUD"], p["GCP_MIN_LANDSAT"], p["EXCLUDE_SLCOFF"])
+        df = scans.scan_landsat({s: _table(spark, tables, s) for s in landsat}, landsat, rois, period, p["MAX_CLOUD"], p["GCP_MIN_LANDSAT"], p["EXCLUDE_SLCOFF"], box_only=p["ROI_SIMPLIFY_GEOM_TO_BBOX"])
         frames.append(_masked(df, p, masking.landsat_valid(p["MASKS_LANDSAT"], p["MASKS_LANDSAT_CONF"]) if p["MASKS_LANDSAT"] else None))
     if "S2" in sensors:
         frames.append(_sentinel2(spark, p, tables, rois, period))
@@ -109,7 +111,7 @@ def run_level2(params: dict | str, tables: dict[str, Table], spark: SparkSession
     if not frames and hls:
         satellite = "HLS" if "HLS" in hls or len(hls) == 2 else {"HLSL30": "HLSL", "HLSS30": "HLSS"}[hls[0]]
         collection = "HLS" if satellite == "HLS" else hls[0]
-        df = scans.scan_hls({s: _table(spark, tables, s) for s in (HLS if collection == "HLS" else [collection])}, collection, rois, period, p["MAX_CLOUD"])
+        df = scans.scan_hls({s: _table(spark, tables, s) for s in (HLS if collection == "HLS" else [collection])}, collection, rois, period, p["MAX_CLOUD"], box_only=p["ROI_SIMPLIFY_GEOM_TO_BBOX"])
         frames.append(_masked(df, p, masking.hls_valid(p["MASKS_HLS"]) if p["MASKS_HLS"] else None))
     if not frames and not p["CIC"]:
         raise ValueError("SENSORS names no sensor")
@@ -124,7 +126,7 @@ def run_level2(params: dict | str, tables: dict[str, Table], spark: SparkSession
             features = [*([] if p["UMX_REMOVE_INPUT_FEATURES"] else features), *p["UMX"]]
         out |= {"TSS": tss, "FEATURES": features}
     if p["CIC"]:
-        out["CIC_COLLECTION"] = scans.scan_custom(spark.read.parquet(p["CIC"]) if isinstance(p["CIC"], str) else p["CIC"], p["CIC_FEATURES"], rois, period)
+        out["CIC_COLLECTION"] = scans.scan_custom(spark.read.parquet(p["CIC"]) if isinstance(p["CIC"], str) else p["CIC"], p["CIC_FEATURES"], rois, period, box_only=p["ROI_SIMPLIFY_GEOM_TO_BBOX"])
     if p["TSM"]:
         base, bands = base_of(out, p["TSM_BASE_IMGCOL"])
         out["TSM_COLLECTION"] = series.daily_mosaic(base, bands, keys_of(base))
@@ -172,9 +174,9 @@ def run_level3(p: dict) -> dict:
         base, bands = base_of(out, p["TSI_BASE_IMGCOL"])
         if p["TSI"] in KERNELS:
             n = KERNELS[p["TSI"]]
-            tsi = interpolation.rbf(base, bands, (p["SIGMA1"], p["SIGMA2"], p["SIGMA3"])[:n], (p["WIN1"], p["WIN2"], p["WIN3"])[:n], p["INTERVAL"], p["BW1"], p["BW2"], keys_of(base), january=p["INIT_JANUARY_1ST"])
+            tsi = interpolation.rbf(base, bands, (p["SIGMA1"], p["SIGMA2"], p["SIGMA3"])[:n], (p["WIN1"], p["WIN2"], p["WIN3"])[:n], p["INTERVAL"], p["BW1"], p["BW2"], keys_of(base), january=p["INIT_JANUARY_1ST"], unit=p["INTERVAL_UNIT"])
         elif p["TSI"] == "WLIN":
-            tsi = interpolation.linear(base, bands, p["INTERVAL"], p["WIN1"], keys_of(base), january=p["INIT_JANUARY_1ST"])
+            tsi = interpolation.linear(base, bands, p["INTERVAL"], p["WIN1"], keys_of(base), january=p["INIT_JANUARY_1ST"], unit=p["INTERVAL_UNIT"])
         else:
             raise ValueError(f"unknown TSI {p['TSI']}")
         out["TSI_COLLECTION"] = tsi.withColumn("ts", F.timestamp_millis("t_ms")).withColumn("scene_id", yyyymmdd("ts"))
@@ -238,11 +240,18 @@ def run_export(p: dict) -> dict:
             if p["EXPORT_PER_TIME"] and "ts" in df.columns:
                 rows, parts = df.withColumn("date", yyyymmdd("ts")), [*parts, "date"]
             groups = [[b] for b in bands] if p["EXPORT_PER_FEATURE"] else [bands]
+            staged = f"{path}_staged" if len(groups) > 1 else None
+            if staged:  # computed once, whatever the number of bands
+                rows.write.mode("overwrite").parquet(staged)
+                rows = rows.sparkSession.read.schema(rows.schema).parquet(staged)
             for group in groups:
                 to = f"{path}_{group[0]}" if p["EXPORT_PER_FEATURE"] else path
                 rest = [c for c in rows.columns if c not in bands]
                 export.export_image(rows.select(*rest, *group), to, group, keys, partition=parts or None, bandnames_csv=p["EXPORT_BANDNAMES_AS_CSV"], **how)
                 written[Path(to).name] = to
+            if staged:
+                gone = df.sparkSession._jvm.org.apache.hadoop.fs.Path(staged)
+                gone.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(gone, True)
         if p["EXPORT_TABLE"]:
             table = _extracted(p, df, bands)
             names = [f"{b}_{p['EXPORT_TABLE_REDUCER']}" for b in bands]
@@ -251,13 +260,45 @@ def run_export(p: dict) -> dict:
     return dict(p, EXPORTED=written)
 
 
+def _lengths(p: dict, y: Column, metres: float) -> tuple[Column, Column]:
+    """A length in the units of either axis: degrees at latitude y unless CRS says that coordinates are metres."""
+    if p["CRS"] in (None, "EPSG:4326"):
+        return metres / (111_320 * F.cos(F.radians(y))), F.lit(metres / 110_574)
+    return F.lit(float(metres)), F.lit(float(metres))
+
+
+def _placed(p: dict, df: DataFrame) -> DataFrame:
+    """A product with the coordinates of its pixels as px, py. Products of aggregations have none: they get those of their pixels, one row each, within the region's box."""
+    if not {"x", "y"} <= set(df.columns):
+        base = next((p[k] for k in ("TSS", "CIC_COLLECTION") if isinstance(p.get(k), DataFrame) and {"x", "y"} <= set(p[k].columns)), None)
+        if base is None:
+            return df
+        keys, (x0, y0, x1, y1) = [*keys_of(df)], regions.bounds(p["ROIS"])
+        if p["EXPORT_TABLE_BUFFER"] is None:
+            base = base.filter(F.col("x").between(x0 - 0.01, x1 + 0.01) & F.col("y").between(y0 - 0.01, y1 + 0.01)) if p["CRS"] in (None, "EPSG:4326") else base
+        df = df.join(base.groupBy(*keys).agg(F.min("x").alias("x"), F.min("y").alias("y")), keys)
+    return df.drop("px", "py").withColumnsRenamed({"x": "px", "y": "py"})
+
+
 def _extracted(p: dict, df: DataFrame, bands: list[str]) -> DataFrame:
-    """The product at the region's features, in pixel coordinates where it has no others."""
-    x, y = ("x", "y") if {"x", "y"} <= set(df.columns) else ("px", "py")
-    features = regions.features_table(df.sparkSession, p["ROIS"]).drop("ring", "attributes")
-    image = tuple(c for c in ("tile_id", "fold_key", "year", "k", "t_ms", "scene_id", "ts") if c in df.columns)
-    place = df.drop("px", "py").withColumnsRenamed({x: "px", y: "py"}) if x == "x" else df
-    return spatial.zonal(place, features, bands, [p["EXPORT_TABLE_REDUCER"]], buffer=p["EXPORT_TABLE_BUFFER"] or 0, image=image)
+    """The product at the region's features: by their polygons, or boxes with ROI_SIMPLIFY_GEOM_TO_BBOX, grown by EXPORT_TABLE_BUFFER metres. A point without a buffer is the pixel round it."""
+    rois, image = p["ROIS"], tuple(c for c in ("tile_id", "fold_key", "year", "k", "t_ms", "scene_id", "ts") if c in df.columns)
+    features = regions.features_table(df.sparkSession, rois).drop("attributes", *(["rings"] if p["ROI_SIMPLIFY_GEOM_TO_BBOX"] else []))
+    y = (F.col("ymin") + F.col("ymax")) / 2
+    buffer = _lengths(p, y, p["EXPORT_TABLE_BUFFER"] or 0)
+    features = features.withColumns({"buffer_x": buffer[0], "buffer_y": buffer[1]})
+    if not p["EXPORT_TABLE_BUFFER"]:
+        half, point = dict(zip("xy", _lengths(p, y, p["PIX_RES"] / 2), strict=True)), (F.col("xmin") == F.col("xmax")) & (F.col("ymin") == F.col("ymax"))
+        box = {f"{a}{m}": F.col(f"{a}{m}") + F.when(point, s * half[a]).otherwise(0.0) for a in "xy" for m, s in (("min", -1), ("max", 1))}
+        if "rings" in features.columns:
+            corner = lambda a, b: F.struct(box[f"x{a}"].alias("x"), box[f"y{b}"].alias("y"))
+            box["rings"] = F.when(point, F.array(F.array(*(corner(a, b) for a, b in (("min", "min"), ("max", "min"), ("max", "max"), ("min", "max")))))).otherwise(F.col("rings"))
+        features = features.withColumns(box)
+    # Blocks of some pixels, but so many that no list of features makes more than a few hundred thousand of them.
+    sides = [(r.box[2] - r.box[0], r.box[3] - r.box[1]) for r in rois]
+    pixel = p["PIX_RES"] / 111_320 if p["CRS"] in (None, "EPSG:4326") else p["PIX_RES"]
+    block = max(64 * pixel, math.sqrt(sum(a * b for a, b in sides) / 100_000), sum(map(sum, sides)) / 100_000)
+    return spatial.zonal(_placed(p, df), features, bands, [p["EXPORT_TABLE_REDUCER"]], block=block, image=image, parts=p["EXPORT_TABLE_TILE_SCALE"])
 
 
 def run_param(params: dict | str, tables: dict[str, Table], spark: SparkSession | None = None) -> dict:
@@ -267,6 +308,7 @@ def run_param(params: dict | str, tables: dict[str, Table], spark: SparkSession
     table with a tile_id column does the same without a loop.
     """
     p = merge_parameters(load_parameters(params))
+    check_parameters(p)
     if not p["ROI_TILES"]:
         return reduce(lambda x, stage: stage(x), (run_level3, run_level4, run_export), run_level2(p, tables, spark))
     column = p["ROI_TILES_ATTRIBUTE_COLUMN"]

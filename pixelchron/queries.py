@@ -321,12 +321,12 @@ DAY = 86_400_000
 
 def _rbf_sql(step: int, kernels: list[tuple[float, float]], blend: str) -> str:
     """Range join of grid and observations; v1, w1, n1 and so on are a kernel's sums."""
-    sums = ", ".join(f"sum(CASE WHEN abs(dl) <= {w} AND NDVI IS NOT NULL THEN NDVI * exp(-0.5 * pow(dl / {float(s)}, 2)) END) AS v{i}, sum(CASE WHEN abs(dl) <= {w} AND NDVI IS NOT NULL THEN exp(-0.5 * pow(dl / {float(s)}, 2)) END) AS w{i}, count(CASE WHEN abs(dl) <= {w} THEN NDVI END) AS n{i}" for i, (s, w) in enumerate(kernels, 1))
+    sums = ", ".join(f"sum(CASE WHEN abs(dl) <= {w} AND NDVI IS NOT NULL THEN NDVI * exp(-0.5 * pow(dl / {float(s)}, 2)) END) AS v{i}, sum(CASE WHEN abs(dl) <= {w} AND NDVI IS NOT NULL THEN exp(-0.5 * pow(dl / {float(s)}, 2)) END) AS w{i}, count(CASE WHEN abs(dl) <= {w} THEN NDVI END) AS n{i}, count(CASE WHEN abs(dl) <= {w} THEN 1 END) AS m{i}" for i, (s, w) in enumerate(kernels, 1))
     values = ", ".join(f"v{i} / w{i} AS r{i}" for i in range(1, len(kernels) + 1))
     return f"""WITH {EVENTS}, lim AS (SELECT min(t) AS a, max(t) AS b FROM ev), grid AS (SELECT k::INT AS k, a + k * {step * DAY} AS gt FROM lim, range(0, 1000) r(k) WHERE a + k * {step * DAY} <= b),
 j AS (SELECT px, k, gt, NDVI, (t - gt) / {float(DAY)} AS dl FROM grid JOIN ev ON abs(t - gt) <= {int(max(w for _, w in kernels) * DAY)}),
 s AS (SELECT px, k, gt, {sums} FROM j GROUP BY px, k, gt), q AS (SELECT *, {values} FROM s), c AS (SELECT *, least(n1 / 4.0, 1.0) AS c1{', least(n2 / 8.0, 1.0) * (1 - least(n1 / 4.0, 1.0)) AS c2' if len(kernels) == 3 else ''} FROM q)
-SELECT px, k, gt AS t_ms, {R(blend, 'NDVI')} FROM c"""
+SELECT px, k, gt AS t_ms, {R(blend, 'NDVI')} FROM c WHERE {' AND '.join(f'm{i} > 0' for i in range(1, len(kernels) + 1))}"""
 
 
 @query(f"WITH {OBS}, lim AS (SELECT date_trunc('year', min(ts)) AS a, max(ts) AS b FROM obs) SELECT k::INT AS k, epoch_ms(a + to_months((k * 2)::INT)) AS t_ms FROM lim, range(0, 200) r(k) WHERE a + to_months((k * 2)::INT) <= b")
@@ -344,6 +344,13 @@ def tsi_2rbf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(interpolation.rbf(event_series(spark, sf_dir), ["NDVI"], (2, 6), (2, 8), 2).drop("py"))
 
 
+@query(f"""WITH {EVENTS}, lim AS (SELECT min(t) AS a, max(t) AS b FROM ev), grid AS (SELECT k::INT AS k, epoch_ms(epoch_ms(a) + to_months(k::INT)) AS gt FROM lim, range(0, 200) r(k) WHERE epoch_ms(epoch_ms(a) + to_months(k::INT)) <= b),
+j AS (SELECT px, k, gt, NDVI, (t - gt) / {float(DAY)} AS dl FROM grid JOIN ev ON abs(t - gt) <= {10 * DAY})
+SELECT px, k, gt AS t_ms, {R('sum(NDVI * exp(-0.5 * pow(dl / 5.0, 2))) / sum(CASE WHEN NDVI IS NOT NULL THEN exp(-0.5 * pow(dl / 5.0, 2)) END)', 'NDVI')} FROM j GROUP BY px, k, gt""")
+def tsi_month_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(interpolation.rbf(event_series(spark, sf_dir), ["NDVI"], (5,), (10,), 1, unit="month").drop("py"))
+
+
 @query(_rbf_sql(1, [(1, 1), (2, 3), (5, 6)], "coalesce(r1 * c1, 0) + coalesce(r2 * c2, 0) + r3 * (1 - c1 - c2)"))
 def tsi_3rbf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(interpolation.rbf(event_series(spark, sf_dir), ["NDVI"], (1, 2, 5), (1, 3, 6), 1).drop("py"))
@@ -534,6 +541,39 @@ def buffer_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.zonal(df, _zones(spark, sf_dir, 0), ["NDVI", "NIR"], ["mean", "max"], buffer=1.5, block=4, image=("year",)))
 
 
+def _in_ring_sql(x: str, y: str, rings: list[list[tuple[float, float]]]) -> str:
+    edges = [(p, q) for r in rings for p, q in zip(r, r[1:] + r[:1], strict=True) if p[1] != q[1]]
+    return "(" + " + ".join(f"(CASE WHEN ({p[1]} > {y}) <> ({q[1]} > {y}) AND {x} < ({q[0]} - {p[0]}) * ({y} - {p[1]}) / ({q[1]} - {p[1]}) + {p[0]} THEN 1 ELSE 0 END)" for p, q in edges) + ") % 2 = 1"
+
+
+#: A polygon with a hole, a feature of two parts, and a triangle; their edges meet no pixel.
+_SHAPES = {
+    "hole": [[(0.3, 0.2), (8.7, 0.4), (7.6, 9.3), (1.2, 8.8)], [(2.4, 2.3), (5.6, 2.6), (4.4, 6.7)]],
+    "parts": [[(0.1, 0.1), (2.2, 0.3), (1.4, 3.6)], [(6.3, 5.2), (9.4, 5.1), (9.2, 9.4), (6.1, 9.6)]],
+    "triangle": [[(1.1, 1.2), (8.3, 1.3), (8.2, 7.4)]],
+}
+
+
+@query(f"WITH {TSS}, z AS (" + " UNION ALL ".join(f"SELECT '{n}' AS fid, tss.* FROM tss WHERE {_in_ring_sql('px', 'py', rings)}" for n, rings in _SHAPES.items()) + f") SELECT fid, year(ts)::INT AS year, {R('avg(NDVI)', 'NDVI_mean')}, count(NDVI) AS NDVI_count FROM z GROUP BY fid, year(ts)")
+def zonal_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes = [roi.Roi(tuple(map(tuple, rings)), {"fid": n}) for n, rings in _SHAPES.items()]
+    df = masked_observations(spark, sf_dir).withColumn("year", F.year("ts"))
+    return rounded(spatial.zonal(df, roi.features_table(spark, shapes), ["NDVI"], ["mean", "count"], block=3, image=("year",), parts=2))
+
+
+_TABLE_ROI = [[12.93, 52.21], [13.36, 52.23], [13.31, 52.64]]
+
+
+@query(f"WITH {OBS}, s AS ({_landsat_sql('sensor = $$A$$ AND ts >= TIMESTAMP $$1996-01-01$$ AND ts < TIMESTAMP $$1998-01-01$$').replace('$$', chr(39))}), m AS (SELECT *, 12.9 + px * 0.05::DOUBLE AS x, 52.2 + py * 0.05::DOUBLE AS y FROM s WHERE {VALID}), p AS (SELECT px, py, any_value(x) AS x, any_value(y) AS y, avg({NDVI}) AS v FROM m GROUP BY px, py) SELECT '0' AS fid, {R('avg(v)', 'NDVI_mean_mean')} FROM p WHERE {_in_ring_sql('x', 'y', [[tuple(c) for c in _TABLE_ROI]])}")
+def export_table_stm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the table export of STM writes before scaling: pixels' metrics, extracted by a polygon in degrees."""
+    from .plans.pipeline import _extracted, run_level2, run_level3
+
+    p = {"SENSORS": ["L8"], "YEAR_MIN": 1996, "YEAR_MAX": 1997, "ROI": _TABLE_ROI, "ROI_SIMPLIFY_GEOM_TO_BBOX": False, "FEATURES": ["NDVI"], "STM": ["mean"], "EXPORT_TABLE_REDUCER": "mean"}
+    p = run_level3(run_level2(p, {"L8": landsat_table(spark, sf_dir, "L8")}, spark))
+    return rounded(_extracted(p, p["STM_IMAGE"], ["NDVI_mean"]))
+
+
 @query("""SELECT format('T_X{:03d}-Y{:03d}', x, y) AS ID, x::INT AS X, y::INT AS Y, (1000.0 + x * 75000)::DOUBLE AS xmin, (9000000.0 - (y + 1) * 75000)::DOUBLE AS ymin, (1000.0 + (x + 1) * 75000)::DOUBLE AS xmax, (9000000.0 - y * 75000)::DOUBLE AS ymax,
 format('T_150_X{:03d}-Y{:03d}', x // 2, y // 2) AS ID150, format('T_300_X{:03d}-Y{:03d}', x // 4, y // 4) AS ID300 FROM range(0, 23) a(x), range(0, 17) b(y)""")
 def tile_grid_nested(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,27 +9,30 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.spatial import inside_polygon
+from ..operators.spatial import inside_rings
 
 Ring = tuple[tuple[float, float], ...]
 
 
 @dataclass(frozen=True)
 class Roi:
-    """One feature: its outer ring (a point has one vertex), and attributes."""
+    """One feature: the rings of all its polygons, outer ones and holes alike (a point is a ring of one vertex), and attributes.
 
-    ring: Ring
+    A place is inside if it is inside an odd number of rings, which is right for holes and for separate parts.
+    """
+
+    rings: tuple[Ring, ...]
     attributes: dict = field(default_factory=dict, hash=False)
 
     @property
     def box(self) -> tuple[float, float, float, float]:
-        xs, ys = zip(*self.ring, strict=True)
+        xs, ys = zip(*(p for r in self.rings for p in r), strict=True)
         return min(xs), min(ys), max(xs), max(ys)
 
     @property
     def rectangular(self) -> bool:
         x0, y0, x1, y1 = self.box
-        return len(self.ring) < 3 or set(self.ring) == {(x0, y0), (x0, y1), (x1, y0), (x1, y1)}
+        return len(self.rings) == 1 and (len(self.rings[0]) < 3 or set(self.rings[0]) == {(x0, y0), (x0, y1), (x1, y0), (x1, y1)})
 
     def holds(self, x: Column, y: Column, box_only: bool = True) -> Column:
         """Whether a coordinate is inside; the box goes first, as a range predicate that a scan can use."""
@@ -37,8 +40,8 @@ class Roi:
         inside = x.between(x0, x1) & y.between(y0, y1)
         if box_only or self.rectangular:
             return inside
-        ring = F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in self.ring))
-        return inside & inside_polygon(x, y, ring)
+        rings = F.array(*(F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ring)) for ring in self.rings))
+        return inside & inside_rings(x, y, rings)
 
 
 def _box_ring(x0: float, y0: float, x1: float, y1: float) -> Ring:
@@ -50,23 +53,24 @@ def _ring(points: list) -> Ring:
     return ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
 
 
-def _geometry(g: dict) -> list[Ring]:
+def _geometry(g: dict) -> list[tuple[Ring, ...]]:
+    """The rings of each feature that a geometry makes: points one each, polygons of several parts one for all."""
     kind, c = g["type"], g.get("coordinates")
     if kind == "Point":
-        return [_ring([c])]
+        return [(_ring([c]),)]
     if kind == "MultiPoint":
-        return [_ring([p]) for p in c]
+        return [(_ring([p]),) for p in c]
     if kind == "Polygon":
-        return [_ring(c[0])]
+        return [tuple(map(_ring, c))]
     if kind == "MultiPolygon":
-        return [_ring(p[0]) for p in c]
+        return [tuple(_ring(r) for p in c for r in p)]
     if kind == "GeometryCollection":
         return [r for x in g["geometries"] for r in _geometry(x)]
     raise ValueError(f"unsupported geometry {kind}")
 
 
 def parse_roi(value: object) -> list[Roi]:
-    """Features from [lon, lat], [lon, lat, lon, lat], [[lon, lat], ...], a GeoJSON object or the path of a GeoJSON file. Holes of polygons are passed over."""
+    """Features from [lon, lat], [lon, lat, lon, lat], [[lon, lat], ...], a GeoJSON object or the path of a GeoJSON file. Polygons keep their holes, and one of several parts is one feature."""
     if isinstance(value, Roi):
         return [value]
     if isinstance(value, (str, Path)):
@@ -81,9 +85,9 @@ def parse_roi(value: object) -> list[Roi]:
     if items and all(isinstance(x, Roi) for x in items):
         return items
     if items and all(isinstance(x, (int, float)) for x in items) and len(items) in (2, 4):
-        return [Roi(_ring([items]) if len(items) == 2 else _box_ring(*map(float, items)))]
+        return [Roi((_ring([items]) if len(items) == 2 else _box_ring(*map(float, items)),))]
     if len(items) >= 3 and all(isinstance(x, (list, tuple)) and len(x) == 2 for x in items):
-        return [Roi(_ring(items))]
+        return [Roi((_ring(items),))]
     raise ValueError("a region is [lon, lat], [lon, lat, lon, lat], a polygon's vertices or GeoJSON")
 
 
@@ -116,6 +120,6 @@ def select_features(rois: list[Roi], column: str, values: list | None = None) ->
 
 
 def features_table(spark: SparkSession, rois: list[Roi], key: str = "fid") -> DataFrame:
-    """key, box, ring and attributes (map of strings) of features; a list as long as the user's vector file."""
-    rows = [(str(r.attributes.get(key, i)), *map(float, r.box), [{"x": float(a), "y": float(b)} for a, b in r.ring], {k: None if v is None else str(v) for k, v in r.attributes.items()}) for i, r in enumerate(rois)]
-    return spark.createDataFrame(rows, f"{key} string, xmin double, ymin double, xmax double, ymax double, ring array<struct<x:double,y:double>>, attributes map<string,string>")
+    """key, box, rings and attributes (map of strings) of features; a list as long as the user's vector file."""
+    rows = [(str(r.attributes.get(key, i)), *map(float, r.box), [[{"x": float(a), "y": float(b)} for a, b in ring] for ring in r.rings], {k: None if v is None else str(v) for k, v in r.attributes.items()}) for i, r in enumerate(rois)]
+    return spark.createDataFrame(rows, f"{key} string, xmin double, ymin double, xmax double, ymax double, rings array<array<struct<x:double,y:double>>>, attributes map<string,string>")

@@ -80,11 +80,11 @@ def scaled(df: DataFrame, bands: list[str], scale: float, offset: float = 0.0) -
     return df.withColumns({b: F.col(b) * scale + offset for b in bands if b in df.columns})
 
 
-def scan_landsat(tables: dict[str, DataFrame], sensors: list[str], rois: list[Roi] | None = None, period: Period | None = None, cloud_max: float = 75, gcp_min: float = 0, exclude_slc_off: bool = False) -> DataFrame:
+def scan_landsat(tables: dict[str, DataFrame], sensors: list[str], rois: list[Roi] | None = None, period: Period | None = None, cloud_max: float = 75, gcp_min: float = 0, exclude_slc_off: bool = False, box_only: bool = True) -> DataFrame:
     """Observations of L4 to L9 as surface reflectance and temperature (kelvin)."""
     frames = []
     for s in sensors:
-        df = filtered(tables[s], s, rois, period, cloud_max, gcp_min)
+        df = filtered(tables[s], s, rois, period, cloud_max, gcp_min, box_only)
         if s == "L7" and exclude_slc_off:
             df = df.filter(Period(dates=SLC_ON).holds())
         df = renamed(df, s)
@@ -93,9 +93,9 @@ def scan_landsat(tables: dict[str, DataFrame], sensors: list[str], rois: list[Ro
     return union(frames)
 
 
-def scan_sentinel2(table: DataFrame, rois: list[Roi] | None = None, period: Period | None = None, cloud_max: float = 75, mask_table: DataFrame | None = None, mask_bands: tuple[str, ...] = ("cs", "cs_cdf")) -> DataFrame:
+def scan_sentinel2(table: DataFrame, rois: list[Roi] | None = None, period: Period | None = None, cloud_max: float = 75, mask_table: DataFrame | None = None, mask_bands: tuple[str, ...] = ("cs", "cs_cdf"), box_only: bool = True) -> DataFrame:
     """Observations of S2 as reflectance (WV as stored), with a mask collection's bands linked by scene and pixel."""
-    df = renamed(filtered(table, "S2", rois, period, cloud_max), "S2")
+    df = renamed(filtered(table, "S2", rois, period, cloud_max, box_only=box_only), "S2")
     df = scaled(df, [b for b in SENSOR_BANDS["S2"].values() if b not in QA_BANDS and b != "WV"], MSI_SCALE)
     return df if mask_table is None else link(df, mask_table, mask_bands)
 
@@ -106,24 +106,24 @@ def link(df: DataFrame, other: DataFrame, bands: tuple[str, ...], keys: tuple[st
     return df.join(other.select(*on, *bands), on, "left")
 
 
-def scan_hls(tables: dict[str, DataFrame], collection: str = "HLS", rois: list[Roi] | None = None, period: Period | None = None, cloud_max: float = 75) -> DataFrame:
+def scan_hls(tables: dict[str, DataFrame], collection: str = "HLS", rois: list[Roi] | None = None, period: Period | None = None, cloud_max: float = 75, box_only: bool = True) -> DataFrame:
     """Observations of HLSL30, HLSS30 or both; their values are reflectance already."""
     if collection not in ("HLS", *HLS):
         raise ValueError(f"unknown collection {collection}")
     wanted = HLS if collection == "HLS" else (collection,)
-    return union([renamed(filtered(tables[s], s, rois, period, cloud_max), s) for s in wanted])
+    return union([renamed(filtered(tables[s], s, rois, period, cloud_max, box_only=box_only), s) for s in wanted])
 
 
-def scan_custom(table: DataFrame, features: list[str] | None = None, rois: list[Roi] | None = None, period: Period | None = None) -> DataFrame:
+def scan_custom(table: DataFrame, features: list[str] | None = None, rois: list[Roi] | None = None, period: Period | None = None, box_only: bool = True) -> DataFrame:
     """A user's own collection: region and time only. Its bands are those named, or all columns but the keys."""
-    df = filtered(table, "CIC", rois if {"x", "y"} <= set(table.columns) else None, period, None)
+    df = filtered(table, "CIC", rois if {"x", "y"} <= set(table.columns) else None, period, None, box_only=box_only)
     fixed = [c for c in ("tile_id", "px", "py", "x", "y", "scene_id", "ts", "sensor", "mask") if c in df.columns]
     return df.select(*fixed, *(features or [c for c in df.columns if c not in fixed]))
 
 
-def scan_static(table: DataFrame, band: str, rois: list[Roi] | None = None) -> DataFrame:
+def scan_static(table: DataFrame, band: str, rois: list[Roi] | None = None, box_only: bool = True) -> DataFrame:
     """A static layer such as elevation: one value per pixel, the mean of what overlaps."""
-    df = in_region(table, rois) if rois else table
+    df = in_region(table, rois, box_only) if rois else table
     return df.groupBy("px", "py").agg(F.avg(band).alias(band))
 
 

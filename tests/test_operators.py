@@ -202,3 +202,46 @@ def test_rules_round_trip(spark):
     assert theirs.filter("abs(class - prediction) > 1e-9").count() == 0
     assert model.select_features(df.withColumn("c", F.lit(1.0)), ["a", "b", "c"], "y", 2, numTrees=3) in (["a", "b"], ["b", "a"])
     assert model.drop_correlated(df.withColumn("c", F.col("a") * 2), ["a", "b", "c"]) == ["b", "c"]
+
+
+def test_nearest_ends_on_missing_coordinates(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, float("nan"), 0.0), (4, 900.0, 5.0)], "id int, x double, y double")
+    centres = spark.createDataFrame([("a", 1.0, 0.0), ("b", 800.0, 0.0), ("c", None, None)], "block string, x double, y double")
+    assert sorted((r["id"], r["block"]) for r in spatial.nearest(points, centres).collect()) == [(1, "a"), (4, "b")]
+    assert spatial.nearest(points, centres.limit(0)).count() == 0
+    assert spatial.nearest(points.filter("id = 2"), centres).count() == 0
+
+
+def test_zonal_with_buffers_equals_plain(spark):
+    import math
+
+    from pixelchron.sources import roi
+
+    rings = {"tri": [[(2.3, 2.1), (7.7, 3.2), (4.1, 8.6)]], "hole": [[(0.2, 0.2), (9.6, 0.3), (9.4, 9.7), (0.1, 9.5)], [(3.2, 3.1), (7.1, 3.3), (6.8, 7.2), (3.4, 6.9)]]}
+
+    def parity(x, y, ring):
+        return sum((p[1] > y) != (q[1] > y) and x < (q[0] - p[0]) * (y - p[1]) / (q[1] - p[1]) + p[0] for p, q in zip(ring, ring[1:] + ring[:1]))
+
+    def distance(x, y, ring):
+        out = []
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            t = max(0, min(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+            out.append(math.hypot(ax + t * (bx - ax) - x, ay + t * (by - ay) - y))
+        return min(out)
+
+    grid = [(x, y) for x in range(-3, 14) for y in range(-3, 14)]
+    df = spark.createDataFrame([(x, y, 1.0, "s") for x, y in grid], "px int, py int, v double, scene_id string")
+    features = roi.features_table(spark, [roi.Roi(tuple(map(tuple, r)), {"fid": n}) for n, r in rings.items()])
+    for buffer in (0, 1.3):
+        want = {n: sum(sum(parity(x, y, ring) for ring in r) % 2 == 1 or buffer > 0 and min(distance(x, y, ring) for ring in r) <= buffer for x, y in grid) for n, r in rings.items()}
+        got = spatial.zonal(df, features, ["v"], ["count"], buffer=buffer, block=4, image=("scene_id",), parts=3)
+        assert {r["fid"]: r["v_count"] for r in got.collect()} == want
+
+
+def test_phenology_reads_its_source_once(spark):
+    from pixelchron.operators import phenology
+    from pixelchron.sources.tables import event_series
+
+    for adjust in (False, True):
+        out = phenology.phenology(event_series(spark, "/root/testdata/sf0.001"), "NDVI", (2023, 2024), adjust=adjust)
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1

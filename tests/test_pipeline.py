@@ -74,10 +74,57 @@ def test_export(spark, tables, tmp_path):
     assert "date" in image.columns and dict(image.dtypes)["NDVI"] == "smallint" and image.filter("NDVI is null").count() == 0
     table = spark.read.csv(p["EXPORTED"]["TSS_PXC_19960101-19960701_LSAT_table"], header=True)
     assert {"fid", "NDVI_first"} <= set(table.columns) and table.count() > 0
+    table = spark.read.csv(p["EXPORTED"]["STM_PXC_19960101-19960701_LSAT_table"], header=True)
+    assert {"fid", "NDVI_mean_first"} <= set(table.columns) and table.count() == 1
     with pytest.raises(ValueError):
         run_param(BASE | {"EXPORT_IMAGE": True, "EXPORT_STM": True, "EXPORT_DIRECTORY": str(tmp_path)}, tables, spark)
 
 
+def test_every_product_has_a_table(spark, tables, tmp_path):
+    given = BASE | {"FEATURES": ["BLU", "GRN", "RED", "NIR", "SW1", "SW2", "NDVI"], "NVO": True, "STM": ["mean"], "PBC": "MAX-NDVI", "TSI": "1RBF", "WIN1": 64, "SIGMA1": 32, "INTERVAL": 2, "INTERVAL_UNIT": "month", "LSP": "POLAR", "EXPORT_TABLE": True, "EXPORT_TABLE_REDUCER": "mean", "EXPORT_TABLE_TILE_SCALE": 4, "EXPORT_DIRECTORY": str(tmp_path), "ROI": [[12.91, 52.19], [13.38, 52.21], [13.32, 52.66]], "ROI_SIMPLIFY_GEOM_TO_BBOX": False}
+    p = run_param(given | {f"EXPORT_{k}": True for k in ("TSS", "NVO", "STM", "PBC", "TSI", "LSP")}, tables, spark)
+    for name, path in p["EXPORTED"].items():
+        assert spark.read.csv(path, header=True).count() > 0, name
+    # The polygon, not its box, is what is scanned.
+    assert p["TSS"].count() < run_param(given | {"EXPORT_TABLE": False, "ROI_SIMPLIFY_GEOM_TO_BBOX": True}, tables, spark)["TSS"].count()
+
+
+def test_table_buffer_is_in_metres(spark, tables, tmp_path):
+    given = BASE | {"STM": ["count"], "EXPORT_TABLE": True, "EXPORT_STM": True, "EXPORT_TABLE_REDUCER": "count", "EXPORT_DIRECTORY": str(tmp_path), "ROI": {"type": "Point", "coordinates": [13.05, 52.2]}, "DATATYPE": None}
+
+    def pixels(metres, near):
+        p = run_level3(run_level2(given | {"ROI": [12.9, 52.2, 13.4, 52.8]}, tables, spark)) | {"ROIS": parse_roi(given["ROI"]), "EXPORT_TABLE_BUFFER": metres}
+        from pixelchron.plans.pipeline import _extracted
+
+        assert sum(r["NDVI_count_count"] for r in _extracted(p, p["STM_IMAGE"], ["NDVI_count"]).collect()) == near
+
+    # The smallest table has one row of pixels, 0.05 degrees or 3.4 km apart.
+    pixels(None, 1)
+    pixels(1000, 1)
+    pixels(3500, 3)
+    pixels(7000, 5)
+
+
+def test_parameters_are_read_or_refused(spark, tables):
+    from pathlib import Path
+
+    import pixelchron
+
+    code = "".join(f.read_text() for f in (Path(pixelchron.__file__).parent / "plans").glob("*.py")).split("PRODUCTS = ")[1]
+    dynamic = {f"EXPORT_{k}" for k in ("TSS", "CIC", "TSM", "NVO", "TSI", "STM", "PBC", "LSP")}
+    text = "".join(f.read_text() for f in (Path(pixelchron.__file__).parent / "plans").glob("*.py"))
+    assert [k for k in DEFAULTS if k not in dynamic and f'"{k}"' not in code and text.count(f'"{k}"') < 2] == []
+    for bad in ({"CRS_TRANSFORM": [1]}, {"IMG_DIMENSIONS": "1x1"}, {"RESAMPLING_METHOD": "bilinear"}, {"EXPORT_LOCATION": "Asset"}, {"EXPORT_TABLE_METHOD": "x"}, {"INTERVAL_UNIT": "week"}, {"STM_FOLDING_LIST_ITER": 3}, {"EXPORT_TABLE_TILE_SCALE": 0}):
+        with pytest.raises(ValueError):
+            run_param(BASE | bad, tables, spark)
+
+
+def test_export_per_feature_computes_once(spark, tables, tmp_path):
+    p = run_param(BASE | {"EXPORT_IMAGE": True, "EXPORT_TSS": True, "EXPORT_PER_FEATURE": True, "EXPORT_DIRECTORY": str(tmp_path)}, tables, spark)
+    assert len(p["EXPORTED"]) == 2 and not [x for x in tmp_path.iterdir() if x.name.endswith("_staged")]
+    assert {spark.read.parquet(x).count() for x in p["EXPORTED"].values()} == {p["TSS"].count()}
+
+
 def test_region_tiles(spark, tables, tmp_path):
     box = lambda x: {"type": "Polygon", "coordinates": [[[x, 52.2], [x + 0.2, 52.2], [x + 0.2, 52.7], [x, 52.7], [x, 52.2]]]}
     file = tmp_path / "roi.geojson"
@@ -96,6 +143,10 @@ def test_region_tiles(spark, tables, tmp_path):
 def test_regions():
     assert parse_roi([1, 2])[0].box == (1, 2, 1, 2)
     assert parse_roi([0, 1, 2, 3])[0].rectangular and not parse_roi([[0, 0], [2, 0], [1, 1]])[0].rectangular
+    square = [[[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]], [[1, 1], [2, 1], [2, 2], [1, 2], [1, 1]]]
+    multi = {"type": "MultiPolygon", "coordinates": [square, [[[9, 9], [10, 9], [10, 10], [9, 9]]]]}
+    assert [len(r.rings) for r in parse_roi({"type": "Polygon", "coordinates": square})] == [2] and [len(r.rings) for r in parse_roi(multi)] == [3]
+    assert parse_roi(multi)[0].box == (0, 0, 10, 10)
     for bad in ([1, 2, 3], [], {"type": "LineString", "coordinates": []}):
         with pytest.raises(ValueError):
             parse_roi(bad)
