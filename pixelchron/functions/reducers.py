@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 PERCENTILES = {f"p{q}": q / 100 for q in (1, *range(5, 100, 5), 99)}
 SIMPLE: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg, "median": F.median, "sum": F.sum, "min": F.min, "max": F.max, "stdDev": F.stddev_pop, "variance": F.var_pop,
-    "skew": F.skewness, "kurtosis": F.kurtosis, "count": F.count, "mode": F.mode, "countDistinct": F.countDistinct,
+    "skew": F.skewness, "kurtosis": F.kurtosis, "count": F.count, "mode": lambda c: F.mode(c, True), "countDistinct": F.countDistinct,
 }
 ORDERED = {"first": F.min_by, "last": F.max_by}
 NAMES = [*SIMPLE, *ORDERED, *PERCENTILES]

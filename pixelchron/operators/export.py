@@ -47,6 +47,11 @@ def to_wide(df: DataFrame, bands: list[str], labels: list[str], label: str = "da
     return df.groupBy(*keys).agg(*wanted)
 
 
+def dated_bands(df: DataFrame, bands: list[str], dates: list[str], ts: str = "ts", keys: tuple[str, ...] = ("px", "py")) -> DataFrame:
+    """A series as one image: <band>_<YYYYMMDD> for the dates given, as an interpolated grid has them."""
+    return to_wide(df.withColumn("_date", F.date_format(ts, "yyyyMMdd")).filter(F.col("_date").isin(dates)), bands, dates, "_date", keys)
+
+
 def to_long(df: DataFrame, prefix: str | None = None, keys: tuple[str, ...] = ("px", "py")) -> DataFrame:
     """Rows of band, date, value from columns whose names end in eight digits; with prefix only those that begin with it."""
     import re

@@ -29,6 +29,11 @@ def utm_zone(lon: float, lat: float) -> int:
     return (32600 if lat >= 0 else 32700) + min(60, int((lon + 180) // 6) + 1)
 
 
+def utm_code(lon: Column, lat: Column) -> Column:
+    """The same for columns."""
+    return F.when(lat >= 0, 32600).otherwise(32700) + F.least(F.lit(60), F.floor((lon + 180) / 6).cast("int") + 1)
+
+
 def tile_grid(spark: SparkSession, xmin: float, ymax: float, columns: int, rows: int, size: float, prefix: str = "", nested: tuple[int, ...] = ()) -> DataFrame:
     """One row per tile: ID (X000-Y000), X, Y, bounds, and for each nested size (km) the id of the larger tile it lies in. Made on the executors from a range."""
     cells = spark.range(columns * rows).select((F.col("id") % columns).cast("int").alias("X"), F.floor(F.col("id") / columns).cast("int").alias("Y"))

@@ -135,23 +135,43 @@ def folds_table(spark: SparkSession, folds: list[Fold]) -> DataFrame:
     return spark.createDataFrame(rows, "fold_key string, time_start bigint, years array<int>, months array<int>, doys array<int>, date_lo date, date_hi date, year_center int, year_offset int, doy_center int, doy_offset int")
 
 
-def fold_days(spark: SparkSession, folds: list[Fold], span: tuple[int, int] = (1970, 2100)) -> DataFrame:
-    """day, fold_key (and centers and offsets): the days of each fold, in the years of span if a fold holds in any.
+def _fields(f: Fold) -> tuple:
+    return f.key, f.time_start, f.year_center, f.year_offset, f.doy_center, f.doy_offset
 
-    Membership becomes an equality join on the day with a table whose size is days times folds, whatever the data.
-    """
+
+FIELDS = "fold_key string, time_start bigint, year_center int, year_offset int, doy_center int, doy_offset int"
+#: More days of folds than this are joined as Spark sees fit; fewer are broadcast.
+BROADCAST_DAYS = 200_000
+
+
+def _days(low: date, high: date) -> Iterable[date]:
+    return (low + timedelta(n) for n in range((high - low).days + 1))
+
+
+def fold_days(spark: SparkSession, folds: list[Fold]) -> DataFrame:
+    """day, fold_key (and centers and offsets): the days of folds that name their years or dates."""
     rows = []
     for f in folds:
-        low, high = (f.date[0].year, f.date[1].year) if f.date else (f.years[0], f.years[-1]) if f.years else span
-        day = date(low, 1, 1)
-        while day.year <= high:
-            if f.holds(day):
-                rows.append((day, f.key, f.time_start, f.year_center, f.year_offset, f.doy_center, f.doy_offset))
-            day += timedelta(1)
-    return spark.createDataFrame(rows, "day date, fold_key string, time_start bigint, year_center int, year_offset int, doy_center int, doy_offset int")
-
-
-def join_folds(df: DataFrame, folds: list[Fold], ts: str = "ts", span: tuple[int, int] = (1970, 2100)) -> DataFrame:
-    """Each observation once for each fold that holds its day; those in none are left out."""
-    days = fold_days(df.sparkSession, folds, span)
-    return df.withColumn("day", F.to_date(ts)).join(F.broadcast(days), "day").drop("day")
+        low, high = f.date or (date(f.years[0], 1, 1), date(f.years[-1], 12, 31))
+        rows += [(day, *_fields(f)) for day in _days(low, high) if f.holds(day)]
+    return spark.createDataFrame(rows, f"day date, {FIELDS}")
+
+
+def fold_year_days(spark: SparkSession, folds: list[Fold]) -> DataFrame:
+    """month, doy, fold_key and so on, of folds that hold in any year: the days of a common and of a leap year."""
+    days = sorted({(d.month, d.timetuple().tm_yday, d) for y in (2023, 2024) for d in _days(date(y, 1, 1), date(y, 12, 31))})
+    rows = {(m, n, *_fields(f)) for f in folds for m, n, d in days if f.holds(d)}
+    return spark.createDataFrame(sorted(rows, key=lambda r: r[:3]), f"_month int, _doy int, {FIELDS}")
+
+
+def join_folds(df: DataFrame, folds: list[Fold], ts: str = "ts") -> DataFrame:
+    """Each observation once for each fold that holds its day; those in none are left out.
+
+    Membership is an equality join on the day, or for folds of any year on month and day of year, with a table whose size is days times folds, whatever the data.
+    """
+    spark = df.sparkSession
+    if all(f.years is None and f.date is None for f in folds):
+        return df.withColumns({"_month": F.month(ts), "_doy": F.dayofyear(ts)}).join(F.broadcast(fold_year_days(spark, folds)), ["_month", "_doy"]).drop("_month", "_doy")
+    days = fold_days(spark, folds)
+    span = sum((f.date[1] - f.date[0]).days if f.date else 366 * len(f.years) for f in folds)
+    return df.withColumn("day", F.to_date(ts)).join(F.broadcast(days) if span <= BROADCAST_DAYS else days, "day").drop("day")

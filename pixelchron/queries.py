@@ -7,13 +7,14 @@ falling either way.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import indices
 from .functions.reducers import reduce_bands
-from .functions.times import cyclic_between, ms, yyyymmdd
+from .functions.times import calendar, cyclic_between, ms, yyyymmdd
 from .operators import composite, export, interpolation, masking, model, phenology, series, spatial
 from .operators.unmix import unmix as unmix_bands
 from .plans.folds import join_folds, make_folds
@@ -244,6 +245,39 @@ def stm_fold_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(series.temporal_metrics(masked_observations(spark, sf_dir), ["NDVI", "NIR"], ["mean", "max"], folds=make_folds((1995, 2001), fold_month=True)))
 
 
+def _fold_query(name: str, wanted: dict[str, str], **how) -> None:
+    """A query of counts and means by the folds of one kind of request."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(series.temporal_metrics(masked_observations(spark, sf_dir), ["NDVI"], ["count", "mean"], folds=make_folds((1996, 1998), **how)))
+
+    run.__name__ = name
+    query(_stm_sql(wanted, ("count", "mean")))(run)
+
+
+_TWO, _THREE, _YR, _MO, _DOY = (1996, 1997), (1996, 1997, 1998), ["1996-1997"], ["3-5", "11-12"], ["100+-20"]
+_SPRING, _WINTER, _DAYS = "month(ts) BETWEEN 3 AND 5", "month(ts) BETWEEN 11 AND 12", "dayofyear(ts) BETWEEN 80 AND 120"
+_months_of = lambda ys, ms: {f"Y{y}-{y}_M{m:02d}-{m:02d}_D001-366": f"year(ts) = {y} AND month(ts) = {m}" for y in ys for m in ms}
+_ranges_of = lambda key, test: {f"{key}_M03-05_D001-366": f"{test} AND {_SPRING}", f"{key}_M11-12_D001-366": f"{test} AND {_WINTER}"}
+_fold_query("fold_years_months_by_year_by_month", _months_of(_TWO, (3, 4, 5, 11, 12)), custom={"year": _YR, "month": _MO}, fold_year=True, fold_month=True)
+_fold_query("fold_years_months_by_year", {k: v for y in _TWO for k, v in _ranges_of(f"Y{y}-{y}", f"year(ts) = {y}").items()}, custom={"year": _YR, "month": _MO}, fold_year=True)
+_fold_query("fold_years_months_by_month", _ranges_of("Y1996-1997", "year(ts) BETWEEN 1996 AND 1997"), custom={"year": _YR, "month": _MO}, fold_month=True)
+_fold_query("fold_years_months", _ranges_of("Y1996-1997", "year(ts) BETWEEN 1996 AND 1997"), custom={"year": _YR, "month": _MO})
+_fold_query("fold_years_doys_by_year", {f"Y{y}-{y}_M01-12_D080-120": f"year(ts) = {y} AND {_DAYS}" for y in _TWO}, custom={"year": _YR, "doy": _DOY}, fold_year=True)
+_fold_query("fold_years_doys", {"Y1996-1997_M01-12_D080-120": f"year(ts) BETWEEN 1996 AND 1997 AND {_DAYS}"}, custom={"year": _YR, "doy": _DOY})
+_fold_query("fold_doys_by_year", {f"Y{y}-{y}_M01-12_D080-120": f"year(ts) = {y} AND {_DAYS}" for y in _THREE}, custom={"doy": _DOY}, fold_year=True)
+_fold_query("fold_years_by_year_by_month", _months_of(_TWO, range(1, 13)), custom={"year": _YR}, fold_year=True, fold_month=True)
+_fold_query("fold_years_by_year", {f"Y{y}-{y}_M01-12_D001-366": f"year(ts) = {y}" for y in _TWO}, custom={"year": _YR}, fold_year=True)
+_fold_query("fold_years_by_month", _months_of(_TWO, range(1, 13)), custom={"year": _YR}, fold_month=True)
+_fold_query("fold_years", {"Y1996-1997_M01-12_D001-366": "year(ts) BETWEEN 1996 AND 1997"}, custom={"year": _YR})
+_fold_query("fold_months_by_year_by_month", _months_of(_THREE, (3, 4, 5, 11, 12)), custom={"month": _MO}, fold_year=True, fold_month=True)
+_fold_query("fold_months_by_year", {k: v for y in _THREE for k, v in _ranges_of(f"Y{y}-{y}", f"year(ts) = {y}").items()}, custom={"month": _MO}, fold_year=True)
+_fold_query("fold_months_by_month", {f"Y1996-1998_M{m:02d}-{m:02d}_D001-366": f"year(ts) BETWEEN 1996 AND 1998 AND month(ts) = {m}" for m in (3, 4, 5, 11, 12)}, custom={"month": _MO}, fold_month=True)
+_fold_query("fold_by_year_by_month", _months_of(_THREE, range(1, 13)), fold_year=True, fold_month=True)
+_fold_query("fold_none", {"Y1996-1998_M01-12_D001-366": "year(ts) BETWEEN 1996 AND 1998"})
+_fold_query("fold_dates_of_interest", {"Y1996-1998_M00-00_D032-060": "ts >= TIMESTAMP '1996-02-01' AND ts < TIMESTAMP '1998-03-01'"}, dates=(19960201, 19980301))
+
+
 @query(_stm_sql({f"Y{y}-{y}_M01-12_D001-366": f"year(ts) = {y}" for y in range(1996, 2001)}, ("median", "variance")))
 def stm_fold_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(series.temporal_metrics(masked_observations(spark, sf_dir), ["NDVI"], ["median", "variance"], folds=make_folds((1996, 2000), fold_year=True)))
@@ -644,6 +678,117 @@ def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.resample(part_grid(spark, sf_dir), ["value"], 2, "bilinear"))
 
 
+_CUBIC = "CASE WHEN abs({d}) <= 1 THEN 1.5 * abs({d}) ** 3 - 2.5 * abs({d}) ** 2 + 1 WHEN abs({d}) < 2 THEN -0.5 * abs({d}) ** 3 + 2.5 * abs({d}) ** 2 - 4 * abs({d}) + 2 ELSE 0.0 END"
+
+
+@query(f"""WITH {GRID}, e AS (SELECT (max(px) + 1) * 2 AS w, (max(py) + 1) * 2 AS h FROM g), t AS (SELECT g.*, tx, ty, ({_CUBIC.format(d="((tx + 0.5) / 2 - 0.5 - px)")}) * ({_CUBIC.format(d="((ty + 0.5) / 2 - 0.5 - py)")}) AS wt FROM g, range(-5, 8) a(i), range(-5, 8) b(j), LATERAL (SELECT px * 2 + i AS tx, py * 2 + j AS ty), e WHERE tx >= 0 AND ty >= 0 AND tx < w AND ty < h)
+SELECT tx::INT AS px, ty::INT AS py, {R('sum(value * wt) / sum(wt)', 'value')} FROM t WHERE wt <> 0 GROUP BY tx, ty""")
+def resample_bicubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spatial.resample(part_grid(spark, sf_dir), ["value"], 2, "bicubic"))
+
+
+@query("SELECT c_custkey AS id, (CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + least(60, floor((lon + 180) / 6)::INT + 1))::INT AS epsg FROM (SELECT c_custkey, (c_custkey * 37 % 36001) / 100.0 - 180 AS lon, (c_custkey * 53 % 16001) / 100.0 - 80 AS lat FROM customer)")
+def utm_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "customer").selectExpr("c_custkey id", "(c_custkey * 37 % 36001) / 100D - 180 lon", "(c_custkey * 53 % 16001) / 100D - 80 lat")
+    return df.select("id", spatial.utm_code(F.col("lon"), F.col("lat")).cast("int").alias("epsg"))
+
+
+@query("SELECT n_name AS name, n_regionkey AS region FROM nation WHERE n_regionkey IN (0, 2, 3) AND n_name <> 'CHINA' AND (n_nationkey IN (1, 5, 8, 9) OR n_regionkey = 3)")
+def vector_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = roi.features_where(read(spark, sf_dir, "nation"), within={"n_regionkey": [0, 2, 3]}, without={"n_name": ["CHINA"]}, either=[{"n_nationkey": [1, 5, 8, 9]}, {"n_regionkey": [3]}])
+    return found.select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+
+
+@query("SELECT n_name AS fid, min(c_acctbal) - 1 AS xmin, max(c_acctbal) + 1 AS xmax, -2.0::DOUBLE AS ymin, 3.0::DOUBLE AS ymax, 4 AS corners FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
+def feature_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of regions, a list as long as the nations."""
+    spans = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_acctbal").alias("a"), F.max("c_acctbal").alias("b")).join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).collect()
+    shapes = [roi.Roi((((r["a"] - 1, -2.0), (r["b"] + 1, -2.0), (r["b"] + 1, 3.0), (r["a"] - 1, 3.0)),), {"fid": r["n_name"]}) for r in spans]
+    return roi.features_table(spark, shapes).select("fid", "xmin", "xmax", "ymin", "ymax", F.size(F.get("rings", F.lit(0))).alias("corners"))
+
+
+# Series and tables
+
+
+@query(f"WITH {OBS} SELECT scene_id, year(ts)::INT AS year, month(ts)::INT AS month, (dayofyear(ts) - 1)::INT AS doy, strftime(ts, '%Y%m%d') AS date FROM obs")
+def time_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calendar(observations(spark, sf_dir)).select("scene_id", "year", "month", "doy", "date")
+
+
+@query(f"WITH {EVENTS} SELECT scene_id, (CASE WHEN probability / 100 >= 0.6 THEN 1 ELSE 0 END)::INT AS mask, {R('CASE WHEN probability / 100 >= 0.6 THEN NDVI END', 'NDVI')} FROM ev")
+def cloud_score_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = event_series(spark, sf_dir).withColumn("cs", F.col("probability") / 100)
+    return rounded(masking.apply_mask(df, ["NDVI"], masking.cloud_score_valid("cs", 0.6)).select("scene_id", "mask", "NDVI"))
+
+
+@query(f"WITH {GRID} SELECT px, py, value + 1 AS value FROM g")
+def static_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = part_grid(spark, sf_dir).select("px", "py", "value")
+    return scans.scan_static(grid.unionByName(grid.withColumn("value", F.col("value") + 2)), "value")
+
+
+@query(f"WITH {OBS}, s AS ({_landsat_sql('true')}) SELECT v.name AS sensor, scene_id, {R('RED')}, {R('SW2')}, {R('CASE WHEN v.name <> $$L4$$ THEN LST END'.replace('$$', chr(39)), 'LST')} FROM s JOIN (VALUES ('R', 'L4'), ('R', 'L5'), ('N', 'L9')) v(flag, name) ON s.sensor = v.flag")
+def tss_landsat_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {"L4": landsat_table(spark, sf_dir, "L5"), "L5": landsat_table(spark, sf_dir, "L5"), "L9": landsat_table(spark, sf_dir, "L9")}
+    return rounded(scans.scan_landsat(tables, ["L4", "L5", "L9"], None, None, 75, 1).select("sensor", "scene_id", "RED", "SW2", "LST"))
+
+
+@query(f"""WITH {OBS}, {EVENTS}, s AS ({_landsat_sql('sensor = $$A$$ AND py <= 9').replace('$$', chr(39))}), l AS (SELECT 'L8' AS sensor, CASE WHEN {VALID} THEN NIR END AS NIR, CASE WHEN {VALID} THEN {NDVI} END AS NDVI FROM s), m AS (SELECT 'S2' AS sensor, NDVI * 0.8 AS NIR, NDVI * 0.2 AS RED FROM ev WHERE probability <= 75),
+u AS (SELECT sensor, NIR, NDVI FROM l UNION ALL SELECT sensor, NIR, {NDVI} AS NDVI FROM m) SELECT 'LSS2' AS satellite, sensor, count(*) AS n, count(NDVI) AS valid, {R('avg(NIR)', 'NIR')}, {R('avg(NDVI)', 'NDVI')} FROM u GROUP BY sensor""")
+def tss_landsat_sentinel2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.pipeline import run_level2
+
+    e = event_series(spark, sf_dir).select("px", "py", "scene_id", "ts", F.lit(13.0).alias("x"), F.lit(52.3).alias("y"), (F.col("NDVI") * 8000).alias("B8"), (F.col("NDVI") * 2000).alias("B4"), F.col("probability").alias("CLOUDY_PIXEL_PERCENTAGE"))
+    p = {"SENSORS": ["L8", "S2"], "MASKS_S2": None, "YEAR_MIN": 1990, "YEAR_MAX": 2040, "ROI": [12.9, 52.2, 13.9, 52.68], "FEATURES": ["NIR", "NDVI"]}
+    p = run_level2(p, {"L8": landsat_table(spark, sf_dir, "L8"), "S2": e}, spark)
+    return rounded(p["TSS"].groupBy("sensor").agg(F.count(F.lit(1)).alias("n"), F.count("NDVI").alias("valid"), F.avg("NIR").alias("NIR"), F.avg("NDVI").alias("NDVI")).withColumn("satellite", F.lit(p["SATELLITE"])))
+
+
+@query(f"WITH {OBS}, c AS (SELECT px, py, RED, row_number() OVER (PARTITION BY px, py ORDER BY count(*) DESC, RED) AS k FROM obs GROUP BY px, py, RED) SELECT px, py, {R('RED', 'RED_mode')} FROM c WHERE k = 1")
+def stm_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reduce_bands(observations(spark, sf_dir), ["px", "py"], ["RED"], ["mode"]))
+
+
+@query(f"WITH {OBS}, r AS (SELECT *, row_number() OVER (PARTITION BY px, py ORDER BY ts, scene_id) AS a, row_number() OVER (PARTITION BY px, py ORDER BY ts DESC, scene_id DESC) AS b FROM obs) SELECT px, py, scene_id, 'third' AS what FROM r WHERE a = 3 UNION ALL SELECT px, py, scene_id, 'last' FROM r WHERE b = 1")
+def nth_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = observations(spark, sf_dir).select("px", "py", "ts", "scene_id")
+    picked = [series.nth_observation(df, n).select("px", "py", "scene_id", F.lit(w).alias("what")) for n, w in ((2, "third"), (-1, "last"))]
+    return picked[0].unionByName(picked[1])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = read(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return series.unmatched(read(spark, sf_dir, "orders"), rich, ("o_custkey",)).select("o_orderkey", "o_custkey")
+
+
+@query(f"WITH {TSS}, a AS (SELECT px, py, avg(NDVI) AS NDVI_mean FROM tss WHERE px < 7 GROUP BY px, py), b AS (SELECT px, py, count(NIR) AS CSO FROM tss WHERE px > 2 GROUP BY px, py) SELECT px, py, {R('NDVI_mean')}, CSO FROM a FULL JOIN b USING (px, py)")
+def stack_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = masked_observations(spark, sf_dir)
+    return rounded(series.stack_bands([series.temporal_metrics(df.filter("px < 7"), ["NDVI"], ["mean"]), series.clear_observations(df.filter("px > 2"), "NIR")]))
+
+
+@query("WITH a AS (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) SELECT c_custkey AS id, o_orderpriority AS priority FROM customer LEFT JOIN a ON o_custkey = c_custkey AND k = 1")
+def attribute_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attributes = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", F.col("o_orderpriority").alias("priority"))
+    return series.attach_attributes(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), attributes, "id", "o_orderkey").select("id", "priority")
+
+
+@query(f"WITH {TSS} " + " UNION ALL ".join(f"SELECT '{b}' AS band, {R(f'quantile_cont({b}, 0.02)', 'low')}, {R(f'quantile_cont({b}, 0.98)', 'high')} FROM tss" for b in ("NDVI", "NIR")))
+def display_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(series.display_range(masked_observations(spark, sf_dir), ["NDVI", "NIR"], accuracy=None))
+
+
+@query(f"SELECT px, 0 AS py, max(CASE WHEN k = 3 THEN NDVI END) AS a, max(CASE WHEN k = 9 THEN NDVI END) AS b FROM ({_rbf_sql(2, [(3, 4)], 'r1')}) WHERE k IN (3, 9) GROUP BY px")
+def tsi_dated_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An interpolated series as an image with a band for each of two dates."""
+    df = event_series(spark, sf_dir)
+    first = interpolation.grid_bounds(df)[0]
+    dates = [datetime.fromtimestamp((first + k * 2 * DAY) / 1000, timezone.utc).strftime("%Y%m%d") for k in (3, 9)]
+    tsi = interpolation.rbf(df, ["NDVI"], (3,), (4,), 2).withColumn("ts", F.timestamp_millis("t_ms"))
+    return rounded(export.dated_bands(tsi, ["NDVI"], dates).withColumnsRenamed({f"NDVI_{d}": n for d, n in zip(dates, "ab", strict=True)}))
+
+
 # Models
 
 _NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -665,10 +810,10 @@ def tree_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def forest_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A forest trained on the embeddings' labels, written as rules, read back, and applied as expressions."""
-    names = [f"A{i:02d}" for i in range(16)]
+    """A forest trained on every other embedding and its label, written as rules, read back, and applied as expressions."""
+    names = [f"A{i:02d}" for i in range(64)]
     df = read(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)))
-    forest = model.train(df, names, "label", numTrees=10, maxDepth=5, seed=7)
+    forest = model.train(df.filter("vec_id % 2 = 0"), names, "label", numTrees=10, maxDepth=5, seed=7)
     rules = model.rules_from_table(model.rules_table(spark, model.ensemble_rules(forest, names)))
     return model.classify(df, rules).select("vec_id", "label", "class")
 

@@ -10,26 +10,21 @@ OPTICAL = ("BLU", "GRN", "RED", "NIR", "SW1", "SW2")
 KEYS = ("px", "py")
 
 
-def _pairs(sources: str, names: str) -> dict[str, str]:
-    return dict(zip(sources.split(), names.split(), strict=True))
-
-
-_TM = _pairs("SR_B1 SR_B2 SR_B3 SR_B4 SR_B5 SR_B7", "BLU GRN RED NIR SW1 SW2")
-_OLI = _pairs("SR_B1 SR_B2 SR_B3 SR_B4 SR_B5 SR_B6 SR_B7 ST_B10", "CLU BLU GRN RED NIR SW1 SW2 LST")
-_LANDSAT_QA = _pairs("QA_PIXEL QA_RADSAT", "QA_PIXEL QA_RADSAT")
-_MSI = _pairs("B1 B2 B3 B4 B5 B6 B7 B8 B8A B9 B11 B12", "AER BLU GRN RED RE1 RE2 RE3 NIR RE4 WV SW1 SW2")
-
-#: Source column to band name, for each sensor.
+# Each sensor's own column names, and the band names that they get.
+_TM = {"SR_B1": "BLU", "SR_B2": "GRN", "SR_B3": "RED", "SR_B4": "NIR", "SR_B5": "SW1", "SR_B7": "SW2"}
+_OLI = {"SR_B1": "CLU", "SR_B2": "BLU", "SR_B3": "GRN", "SR_B4": "RED", "SR_B5": "NIR", "SR_B6": "SW1", "SR_B7": "SW2", "ST_B10": "LST"}
+_MSI = {"B1": "AER", "B2": "BLU", "B3": "GRN", "B4": "RED", "B5": "RE1", "B6": "RE2", "B7": "RE3", "B8": "NIR", "B8A": "RE4", "B9": "WV", "B11": "SW1", "B12": "SW2"}
+_LANDSAT_QA = {"QA_PIXEL": "QA_PIXEL", "QA_RADSAT": "QA_RADSAT"}
 SENSOR_BANDS: dict[str, dict[str, str]] = {
     "L4": _TM | _LANDSAT_QA,
     "L5": _TM | {"ST_B6": "LST"} | _LANDSAT_QA,
     "L7": _TM | {"ST_B6": "LST"} | _LANDSAT_QA,
     "L8": _OLI | _LANDSAT_QA,
     "L9": _OLI | _LANDSAT_QA,
-    "S2": _MSI | _pairs("QA60 SCL", "QA SCL"),
+    "S2": _MSI | {"QA60": "QA", "SCL": "SCL"},
     "S2_L1C": _MSI | {"QA60": "QA"},
     "HLSS30": _MSI | {"Fmask": "Fmask"},
-    "HLSL30": _pairs("B1 B2 B3 B4 B5 B6 B7 B10 Fmask", "CLU BLU GRN RED NIR SW1 SW2 LST Fmask"),
+    "HLSL30": {"B1": "CLU", "B2": "BLU", "B3": "GRN", "B4": "RED", "B5": "NIR", "B6": "SW1", "B7": "SW2", "B10": "LST", "Fmask": "Fmask"},
 }
 LANDSAT, HLS = ("L9", "L8", "L7", "L5", "L4"), ("HLSL30", "HLSS30")
 #: Columns that hold flags or probabilities, not reflectance.

@@ -119,6 +119,26 @@ def select_features(rois: list[Roi], column: str, values: list | None = None) ->
     return found
 
 
+def features_where(features: DataFrame, *, within: dict[str, list] | None = None, without: dict[str, list] | None = None, either: list[dict[str, list]] | None = None) -> DataFrame:
+    """Rows of a table of features by their attributes: within a list of values, without values (NULL isn't one), and either of several conditions of the first kind."""
+
+    def all_of(conditions: dict[str, list]) -> Column:
+        test = F.lit(True)
+        for c, values in conditions.items():
+            test = test & F.col(c).isin(values)
+        return test
+
+    out = features.filter(all_of(within or {}))
+    for c, values in (without or {}).items():
+        out = out.filter(F.coalesce(~F.col(c).isin(values), F.lit(True)))
+    if either:
+        test = F.lit(False)
+        for conditions in either:
+            test = test | all_of(conditions)
+        out = out.filter(test)
+    return out
+
+
 def features_table(spark: SparkSession, rois: list[Roi], key: str = "fid") -> DataFrame:
     """key, box, rings and attributes (map of strings) of features; a list as long as the user's vector file."""
     rows = [(str(r.attributes.get(key, i)), *map(float, r.box), [[{"x": float(a), "y": float(b)} for a, b in ring] for ring in r.rings], {k: None if v is None else str(v) for k, v in r.attributes.items()}) for i, r in enumerate(rois)]
