@@ -17,7 +17,7 @@ from pixelchron.llm import near_dedup
 from pixelchron.llm._common import Scratch
 from pixelchron.llm.bpe import ByteBPE, encode_documents, token_digests
 from pixelchron.llm.exact_dedup import drop_copies, exact_dedup
-from pixelchron.llm.lm_scoring import score_documents
+from pixelchron.llm.lm_scoring import CLASSES, GROUPS, SINGLES, MaxEnt, score_documents
 from pixelchron.llm.mixing import mix, source_targets
 from pixelchron.llm.near_dedup import near_duplicates
 from pixelchron.llm.quality_classifier import classify_quality, isotonic, keep_quality, text_statistics
@@ -369,6 +369,35 @@ def test_lm_beats_the_base_on_held_out_order(spark):
     assert held["s"] > 0.6 * held["b"]
 
 
+def test_lm_is_a_distribution_over_parts_of_classes():
+    model = MaxEnt(rng.integers(0, 50, (CLASSES, GROUPS)).astype(float), 256)
+    for w in model.weights:
+        w += rng.normal(0, 0.5, w.shape).astype(np.float32)
+    # After the same two words every class, and every part of a class of many words, has a probability; together 1.
+    ends = [(0, c) for c in range(SINGLES)] + [(p, c) for c in range(SINGLES, CLASSES) for p in range(GROUPS)]
+    head = (np.array([7, 70], np.uint16), np.array([3, 200], np.uint8))
+    docs = [(np.append(head[0], np.uint16(p)), np.append(head[1], np.uint8(c))) for p, c in ends]
+    assert (10 ** (model.scores(docs) - model.scores([head])[0])).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_first_gradient_equals_the_general_one():
+    mass = rng.integers(1, 50, (CLASSES, GROUPS)).astype(float)
+    docs = [(rng.integers(0, 1 << 16, n).astype(np.uint16), rng.integers(0, CLASSES, n).astype(np.uint8)) for n in (1, 3, 400)]
+    model = MaxEnt(mass, 256)
+    first, general = ([np.zeros((256, GROUPS + 1), np.float32) for _ in range(3)] for _ in range(2))
+    counts = model.first_counts()
+    model.first_gradient(docs, first, counts)
+    model.first_expected(first, counts)
+    model.gradient(docs, general)
+    assert all(np.allclose(a, b, atol=1e-3) for a, b in zip(first, general, strict=True))
+
+
+def test_lm_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = score_documents(docs).filter("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    assert r[0] > -3.72 and r[1] < -4.0
+
+
 def test_token_files_round_trip(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
