@@ -14,12 +14,13 @@ from ..schema import KEYS, OPTICAL
 def best_pixel(df: DataFrame, score: str, bands: list[str], keys: list[str], ts: str = "ts", invert: bool = False) -> DataFrame:
     """The bands of the row with the greatest score (invert: least); of equals the earliest (ts, scene_id). Rows without a score don't count.
 
-    A minimum by one struct: partial ones are taken before the shuffle and one row per key crosses it for each task.
+    A minimum by one struct: partial ones are taken before the shuffle and one row per key crosses it for each task. Rows without a score are passed over by the
+    minimum and not by a filter: Spark would push that below the masks and compute the score's whole expression once more, in code too large to compile.
     """
     s = -F.col(score) if invert else F.col(score)
     least = F.when(s.isNotNull(), F.struct((-s).alias("s"), ms(ts).alias("t"), F.col("scene_id").alias("i")))
     row = F.struct(*(F.col(c) for c in dict.fromkeys([*bands, ts, "scene_id", score])))
-    out = df.filter(s.isNotNull()).groupBy(*keys).agg(F.min_by(row, least).alias("_r"))
+    out = df.groupBy(*keys).agg(F.min_by(row, least).alias("_r")).filter("_r is not null")
     return out.select(*keys, "_r.*")
 
 
