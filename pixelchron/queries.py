@@ -595,10 +595,10 @@ def zonal_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.zonal(df, roi.features_table(spark, shapes), ["NDVI"], ["mean", "count"], block=3, image=("year",), parts=2))
 
 
-_TABLE_ROI = [[12.93, 52.21], [13.36, 52.23], [13.31, 52.64]]
+_TABLE_ROI = [[12.93, 52.19], [13.36, 52.18], [13.31, 52.64]]
 
 
-@query(f"WITH {OBS}, s AS ({_landsat_sql('sensor = $$A$$ AND ts >= TIMESTAMP $$1996-01-01$$ AND ts < TIMESTAMP $$1998-01-01$$').replace('$$', chr(39))}), m AS (SELECT *, 12.9 + px * 0.05::DOUBLE AS x, 52.2 + py * 0.05::DOUBLE AS y FROM s WHERE {VALID}), p AS (SELECT px, py, any_value(x) AS x, any_value(y) AS y, avg({NDVI}) AS v FROM m GROUP BY px, py) SELECT '0' AS fid, {R('avg(v)', 'NDVI_mean_mean')} FROM p WHERE {_in_ring_sql('x', 'y', [[tuple(c) for c in _TABLE_ROI]])}")
+@query(f"WITH {OBS}, s AS ({_landsat_sql('sensor = $$A$$ AND ts >= TIMESTAMP $$1996-01-01$$ AND ts < TIMESTAMP $$1998-01-01$$').replace('$$', chr(39))}), m AS (SELECT *, 12.9 + px * 0.05::DOUBLE AS x, 52.2 + py * 0.05::DOUBLE AS y FROM s WHERE {VALID}), p AS (SELECT px, py, any_value(x) AS x, any_value(y) AS y, avg({NDVI}) AS v FROM m GROUP BY px, py) SELECT '0' AS fid, {R('avg(v)', 'NDVI_mean_mean')} FROM p WHERE {_in_ring_sql('x', 'y', [[tuple(c) for c in _TABLE_ROI]])} HAVING count(*) > 0")
 def export_table_stm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the table export of STM writes before scaling: pixels' metrics, extracted by a polygon in degrees."""
     from .plans.pipeline import _extracted, run_level2, run_level3
