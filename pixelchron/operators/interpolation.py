@@ -141,13 +141,27 @@ def rbf_frame(df: DataFrame, group: str, bands: list[str], mode: str = "1RBF", s
     return grid.join(values.drop("t_ms"), [group, "k"], "left")
 
 
-def rbf_arrays(df: DataFrame, values: str, days: str, targets: list[int], sigma: float, window: float) -> DataFrame:
-    """Adds rbf: a row's array of values at an array of days, interpolated at target days; no explode and no shuffle."""
-    def at(t: Column) -> Column:
-        pairs = F.filter(F.arrays_zip(F.col(values).alias("v"), F.col(days).alias("d")), lambda p: p["v"].isNotNull() & (F.abs(p["d"] - t) <= window))
+def rbf_arrays(df: DataFrame, values: str, days: str, targets: list[int], sigma: float | tuple[float, ...], window: float | tuple[float, ...], bw1: float = 4, bw2: float = 8, nodata: float | None = None) -> DataFrame:
+    """Adds rbf: a row's array of values at an array of days, interpolated at target days by one to three kernels; no explode and no shuffle.
+
+    NULL, NaN and nodata are no observations. Where no kernel has one, the result is nodata, or NULL without it.
+    """
+    sigmas, windows = (x if isinstance(x, tuple) else (x,) for x in (sigma, window))
+
+    def seen(p: Column) -> Column:
+        there = p["v"].isNotNull() & ~F.isnan(p["v"].cast("double"))
+        return there if nodata is None else there & (p["v"] != nodata)
+
+    def kernel(t: Column, s: float, w: float) -> tuple[Column, Column]:
+        pairs = F.filter(F.arrays_zip(F.col(values).alias("v"), F.col(days).alias("d")), lambda p: seen(p) & (F.abs(p["d"] - t) <= w))
         zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-        total = F.aggregate(pairs, zero, lambda a, p: F.struct((a["s"] + p["v"] * gaussian((p["d"] - t).cast("double"), sigma)).alias("s"), (a["w"] + gaussian((p["d"] - t).cast("double"), sigma)).alias("w")))
-        return F.try_divide(total["s"], total["w"])
+        total = F.aggregate(pairs, zero, lambda a, p: F.struct((a["s"] + p["v"] * gaussian((p["d"] - t).cast("double"), s)).alias("s"), (a["w"] + gaussian((p["d"] - t).cast("double"), s)).alias("w")))
+        return F.try_divide(total["s"], total["w"]), F.size(pairs)
+
+    def at(t: Column) -> Column:
+        means, counts = zip(*(kernel(t, s, w) for s, w in zip(sigmas, windows, strict=True)), strict=True)
+        value = blend(list(means), list(counts), bw1, bw2, renormalise=True)
+        return value if nodata is None else F.coalesce(value, F.lit(float(nodata)))
 
     return df.withColumn("rbf", F.transform(F.array(*map(F.lit, targets)), at))
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -104,11 +107,58 @@ def select_features(df: DataFrame, features: list[str], label: str, keep: int, s
     return features
 
 
-def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, corr for all pairs of columns in one pass."""
+def select_features_cv(df: DataFrame, features: list[str], label: str, least: int = 1, step: int = 1, folds: int = 5, **options) -> tuple[list[str], dict[int, float]]:
+    """Recursive elimination with cross-validation: the features kept, and the mean balanced accuracy by number of features.
+
+    In each fold features are eliminated on the rest and every number of features is scored on the fold. The number with the best mean, of
+    equals the smallest, is then reached by elimination on all rows. A row's fold is a hash of its features and label, so equal rows are in one fold and reruns agree.
+    """
+    df = df.na.drop("any", subset=[*features, label]).withColumn("_fold", F.pmod(F.xxhash64(*features, label), F.lit(folds)))
+    scores: dict[int, list[float]] = {}
+    for k in range(folds):
+        rest, fold, left = df.filter(F.col("_fold") != k), df.filter(F.col("_fold") == k), list(features)
+        while True:
+            model = train(rest, left, label, **options)
+            predicted = model.transform(VectorAssembler(inputCols=left, outputCol="features").transform(fold))
+            if (score := accuracy(predicted.withColumn(label, F.col(label).cast("double")), label)["balanced"]) is not None:
+                scores.setdefault(len(left), []).append(score)
+            if len(left) <= least:
+                break
+            left = [f for f, _ in importances(model, left)[: max(least, len(left) - step)]]
+    means = {n: sum(s) / len(s) for n, s in scores.items()}
+    best = min(means, key=lambda n: (-means[n], n))
+    return select_features(df, features, label, best, step, **options), means
+
+
+def correlation(df: DataFrame, columns: list[str], most_pairs: int = 200) -> DataFrame:
+    """a, b, corr for all pairs of columns, each over the rows in which both are given; no row or no spread gives NULL.
+
+    Up to most_pairs each pair is an aggregate of its own. A plan of thousands of aggregates isn't compiled any more, so beyond
+    that each task multiplies matrices, and Spark sums moments by pair. They are taken round the columns' means: without
+    these a large mean would use up the digits.
+    """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*(F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
-    return row.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)))))
+    if len(pairs) <= most_pairs:
+        row = df.agg(*(F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
+        return row.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)))))
+    rows = df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)))
+    means = [m or 0.0 for m in rows.agg(*(F.avg(c) for c in rows.columns)).first()]
+    first, second = np.triu_indices(len(columns), 1)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, len(means), len(means)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - means
+            given = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            x[given == 0] = 0
+            sums += given.T @ given, x.T @ given, given.T @ x, (x * x).T @ given, given.T @ (x * x), x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (first, second, *sums[:, first, second])], ["a", "b", "n", "x", "y", "xx", "yy", "xy"])
+
+    total = rows.mapInArrow(moments, "a bigint, b bigint, n double, x double, y double, xx double, yy double, xy double").groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")))
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    spread = F.sqrt(F.greatest(F.col("xx") - F.try_divide(x * x, n), F.lit(0.0)) * F.greatest(F.col("yy") - F.try_divide(y * y, n), F.lit(0.0)))
+    names = F.array(*map(F.lit, columns))
+    return total.select(F.get(names, F.col("a").cast("int")).alias("a"), F.get(names, F.col("b").cast("int")).alias("b"), F.try_divide(F.col("xy") - F.try_divide(x * y, n), spread).alias("corr"))
 
 
 def drop_correlated(df: DataFrame, columns: list[str], limit: float = 0.95) -> list[str]:

@@ -818,6 +818,15 @@ def forest_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.classify(df, rules).select("vec_id", "label", "class")
 
 
+@query("SELECT vec_id, (CASE WHEN votes > 32 THEN 1 ELSE 0 END)::DOUBLE AS class FROM (SELECT vec_id, list_sum([CASE WHEN x > (i - 32.5) / 640.0 THEN 1 ELSE 0 END FOR x, i IN embedding]) AS votes FROM embeddings)")
+def forest_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest of 64 given trees, each with a cut of its own in a column of its own."""
+    names = [f"A{i:02d}" for i in range(64)]
+    df = read(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)))
+    cuts = [(i - 31.5) / 640 for i in range(64)]
+    return model.classify(df, [[f"0 {n} <= {c}", "1 = 0.0", f"0 {n} > {c}", "1 = 1.0"] for n, c in zip(names, cuts, strict=True)]).select("vec_id", "class")
+
+
 # The whole chain from parameters
 
 _RUN = {"SENSORS": ["L8"], "YEAR_MIN": 1995, "YEAR_MAX": 2001, "ROI": [12.9, 52.2, 13.2, 52.75], "FEATURES": ["NDVI", "NIR"]}

@@ -245,3 +245,44 @@ def test_phenology_reads_its_source_once(spark):
     for adjust in (False, True):
         out = phenology.phenology(event_series(spark, "/root/testdata/sf0.001"), "NDVI", (2023, 2024), adjust=adjust)
         assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
+def test_correlation_by_moments(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(1e6, 1, (300, 3))
+    rows = [tuple(None if rng.random() < 0.2 else float(v) for v in r) + (5.0,) for r in x]
+    df = spark.createDataFrame(rows, "a double, b double, c double, same double").repartition(3)
+    few = {(r["a"], r["b"]): r["corr"] for r in model.correlation(df, ["a", "b", "c"]).collect()}
+    many = {(r["a"], r["b"]): r["corr"] for r in model.correlation(df, ["a", "b", "c", "same"], most_pairs=0).collect()}
+    assert len(many) == 6 and all(many[p] is None for p in many if "same" in p)
+    assert few == pytest.approx({p: c for p, c in many.items() if "same" not in p}, abs=1e-9)
+    assert all(r["corr"] is None for r in model.correlation(df.limit(0), ["a", "b"], most_pairs=0).collect())
+
+
+def test_cross_validated_elimination(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(float(a), float(b), float(c), int(a > 0.5)) for a, b, c in rng.random((120, 3))], "a double, b double, c double, y int")
+    kept, scores = model.select_features_cv(df, ["a", "b", "c"], "y", folds=2, kind="dt", maxDepth=3)
+    assert kept == ["a"] and sorted(scores) == [1, 2, 3] and scores[1] > 0.9
+
+
+@pytest.mark.parametrize("kernels", [1, 2, 3])
+def test_array_kernels_equal_long_form(spark, kernels):
+    days, values = [0, 3, 9, 21, 40], [0.2, None, 0.5, 0.9, -9999.0]
+    sigmas, windows = (4.0, 8.0, 16.0)[:kernels], (5.0, 10.0, 20.0)[:kernels]
+    row = spark.createDataFrame([(1, values, days)], "g int, v array<double>, d array<int>")
+    got = interpolation.rbf_arrays(row, "v", "d", [0, 10, 20, 30, 70], sigmas, windows, 2, 3, nodata=-9999.0).first()["rbf"]
+    seen = [(d, v) for d, v in zip(days, values, strict=True) if v not in (None, -9999.0)]
+
+    def plain(t):
+        out = []
+        for s, w in zip(sigmas, windows, strict=True):
+            near = [(np.exp(-0.5 * ((d - t) / s) ** 2), v) for d, v in seen if abs(d - t) <= w]
+            out.append((sum(g * v for g, v in near) / sum(g for g, _ in near) if near else None, len(near)))
+        first = min(out[0][1] / 2, 1)
+        second = min(out[1][1] / 3, 1) * (1 - first) if kernels == 3 else 0
+        weights = {1: [1], 2: [first, 1 - first], 3: [first, second, 1 - first - second]}[kernels]
+        total = sum(w for w, (v, _) in zip(weights, out, strict=True) if v is not None)
+        return sum(w * v for w, (v, _) in zip(weights, out, strict=True) if v is not None) / total if total else -9999.0
+
+    assert got == pytest.approx([plain(t) for t in (0, 10, 20, 30, 70)])
