@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from pixelchron.llm import near_dedup
 from pixelchron.llm._common import Scratch
 from pixelchron.llm.bpe import ByteBPE, encode_documents, token_digests
 from pixelchron.llm.exact_dedup import drop_copies, exact_dedup
-from pixelchron.llm.lm_scoring import CLASSES, GROUPS, SINGLES, MaxEnt, score_documents
+from pixelchron.llm.lm_scoring import CLASSES, GROUPS, SINGLES, MaxEnt, score_documents, squeezed, unsqueezed
 from pixelchron.llm.mixing import mix, source_targets
 from pixelchron.llm.near_dedup import near_duplicates
 from pixelchron.llm.quality_classifier import classify_quality, isotonic, keep_quality, text_statistics
@@ -369,6 +370,11 @@ def test_lm_beats_the_base_on_held_out_order(spark):
     assert held["s"] > 0.6 * held["b"]
 
 
+@pytest.mark.parametrize("places", [[], [0], [255, 256, 65_536, 2**32 - 1], list(range(5000)) * 3])
+def test_lm_places_come_back(places):
+    assert unsqueezed(pa.py_buffer(squeezed(np.array(places, np.uint32)))).tolist() == places
+
+
 def test_lm_is_a_distribution_over_parts_of_classes():
     model = MaxEnt(rng.integers(0, 50, (CLASSES, GROUPS)).astype(float), 256)
     for w in model.weights:
