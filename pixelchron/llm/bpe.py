@@ -24,6 +24,8 @@ SETTLED = regex.compile("[\x00-\x1b\x20-\x84\x86-ſ]*")
 SHORT = 256
 #: New words of up to so many bytes are merged together, those of equal length in one array.
 TOGETHER = 40
+#: Bytes of texts that are encoded at once. Parts, words and ids of a slice are many times its size and stay with the worker.
+SLICE = 2 << 20
 #: Words that a worker remembers between batches.
 REMEMBERED = 300_000
 #: A white space character before a plain space: the split at plain spaces isn't that of the words then.
@@ -238,6 +240,21 @@ def _bpe(path: str) -> ByteBPE:
     return _loaded[path]
 
 
+def encoded(batches: Iterator[pa.RecordBatch], path: str, decoded: bool = True) -> Iterator[pa.RecordBatch]:
+    """encode_documents for batches of id and text."""
+    bpe = _bpe(path)
+    for whole_batch in batches:
+        for batch in slices(whole_batch, 1, SLICE):
+            flat, sizes = bpe.encode_all(batch.column(1))
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((4 * ends).astype(np.int32).tobytes()), pa.py_buffer(flat.astype("<u4").tobytes())])
+            columns, names = [batch.column(0), pa.array(sizes, pa.int64()), ids], ["id", "n_tokens", "ids"]
+            if decoded:
+                columns.append(pa.array(bpe.decode_all(flat, ends.tolist()), pa.string()))
+                names.append("decoded")
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True) -> DataFrame:
     """Per row: id, n_tokens, ids (binary, little-endian unsigned 32-bit) and, if asked for, text decoded from those ids.
 
@@ -247,21 +264,8 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
     id_type = df.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(path)
-        for whole_batch in batches:
-            for batch in slices(whole_batch, 1, 8 << 20):
-                flat, sizes = bpe.encode_all(batch.column(1))
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((4 * ends).astype(np.int32).tobytes()), pa.py_buffer(flat.astype("<u4").tobytes())])
-                columns, names = [batch.column(0), pa.array(sizes, pa.int64()), ids], ["id", "n_tokens", "ids"]
-                if decoded:
-                    columns.append(pa.array(bpe.decode_all(flat, ends.tolist()), pa.string()))
-                    names.append("decoded")
-                yield pa.RecordBatch.from_arrays(columns, names)
-
     rows = df.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"id {id_type}, n_tokens bigint, ids binary" + ", decoded string" * decoded)
+    out = rows.mapInArrow(lambda batches: encoded(batches, path, decoded), f"id {id_type}, n_tokens bigint, ids binary" + ", decoded string" * decoded)
     return out.withColumnRenamed("id", id_col)
 
 

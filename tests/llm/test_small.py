@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pixelchron.llm import exact_dedup as exact_dedup_module
 from pixelchron.llm import near_dedup
 from pixelchron.llm._common import Scratch
-from pixelchron.llm.bpe import ByteBPE, encode_documents, token_digests
+from pixelchron.llm.bpe import ByteBPE, _bpe, encode_documents, encoded, token_digests
 from pixelchron.llm.exact_dedup import drop_copies, exact_dedup
 from pixelchron.llm.lm_scoring import CLASSES, GROUPS, SINGLES, MaxEnt, score_documents, squeezed, unsqueezed
 from pixelchron.llm.mixing import mix, source_targets
@@ -370,6 +371,20 @@ def test_lm_beats_the_base_on_held_out_order(spark):
     assert held["s"] > 0.6 * held["b"]
 
 
+def test_bpe_takes_large_batches_in_small_steps():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [" ".join(f"w{j}" for j in range(3000)) for k in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(texts)], ["id", "text"])
+    _bpe(path)
+    tracemalloc.start()
+    got = [r for out in encoded(iter([batch]), path) for r in out.column("decoded").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == texts and peak < 70 << 20
+
+
 @pytest.mark.parametrize("places", [[], [0], [255, 256, 65_536, 2**32 - 1], list(range(5000)) * 3])
 def test_lm_places_come_back(places):
     assert unsqueezed(pa.py_buffer(squeezed(np.array(places, np.uint32)))).tolist() == places
