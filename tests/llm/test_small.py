@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelchron.llm import exact_dedup as exact_dedup_module
-from pixelchron.llm import near_dedup
+from pixelchron.llm import lm_scoring, near_dedup
 from pixelchron.llm._common import Scratch
 from pixelchron.llm.bpe import ByteBPE, _bpe, encode_documents, encoded, token_digests
 from pixelchron.llm.exact_dedup import drop_copies, exact_dedup
@@ -390,6 +390,19 @@ def test_lm_places_come_back(places):
     assert unsqueezed(pa.py_buffer(squeezed(np.array(places, np.uint32)))).tolist() == places
 
 
+def test_lm_rows_of_weights_grow_with_the_corpus(spark, monkeypatch):
+    words = np.array([f"w{k}" for k in range(4000)])
+    df = spark.createDataFrame([(i, " ".join(words[rng.zipf(1.3, 1000) % 4000])) for i in range(640)], "doc_id long, text string").repartition(4)
+    assert lm_scoring.SHARD_ROWS == 1 << 15
+    sharded = score_documents(df).collect()
+    # 65,536 rows a layer in any case; held by the driver now.
+    monkeypatch.setattr(lm_scoring, "SHARD_ROWS", 1 << 16)
+    want = {r["doc_id"]: r for r in score_documents(df).collect()}
+    assert sharded[0]["train_tokens"] >= 1 << 19 and len(sharded) == len(want) == 640
+    for r in sharded:
+        assert r[:6] == want[r["doc_id"]][:6] and r["score"] == pytest.approx(want[r["doc_id"]]["score"], rel=1e-4)
+
+
 def test_lm_is_a_distribution_over_parts_of_classes():
     model = MaxEnt(rng.integers(0, 50, (CLASSES, GROUPS)).astype(float), 256)
     for w in model.weights:
