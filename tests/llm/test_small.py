@@ -403,6 +403,45 @@ def test_lm_rows_of_weights_grow_with_the_corpus(spark, monkeypatch):
         assert r[:6] == want[r["doc_id"]][:6] and r["score"] == pytest.approx(want[r["doc_id"]]["score"], rel=1e-4)
 
 
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have written for shuffles."""
+    jvm, context = spark._jvm, spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_lm_tokens_cross_the_shuffle_once(spark):
+    words = np.array([f"w{k}" for k in range(4000)])
+    df = spark.createDataFrame([(i, " ".join(words[rng.zipf(1.3, 1000) % 4000])) for i in range(640)], "doc_id long, text string").repartition(4).localCheckpoint()
+    before = shuffled(spark)
+    got = score_documents(df).collect()
+    assert got[0]["train_tokens"] // lm_scoring.TOKENS_A_ROW > lm_scoring.SHARD_ROWS and len(got) == 640
+    # All documents' tokens, to their block and to their expert, and what comes back.
+    assert shuffled(spark) - before < 20 * sum(r["n_tokens"] for r in got)
+
+
+def test_lm_experts_share_frequent_contexts():
+    busy = np.zeros(lm_scoring.WORDS + 1, np.int64)
+    busy[[7, 8, lm_scoring.WORDS]] = 1 << 30
+    same = np.full(20, 7, np.uint16), np.full(20, 200, np.uint8)
+    experts = lambda docs: np.concatenate([lm_scoring.expert_of(w, busy, 64) for w in lm_scoring.windows(docs)])
+    # The same document many times: its copies differ by their ids alone.
+    copies = experts([(*same, zlib.crc32(str(k).encode())) for k in range(10_000)])
+    assert np.bincount(copies, minlength=64).max() < 1.5 * len(copies) / 64
+    assert (experts([(*same, 5)]) == experts([(*same, 5)])).all()
+    # A word that isn't frequent chooses alone, and behind a frequent one the word before that.
+    rare, after = (np.unique(experts([(np.array([k, n, 7, 1], np.uint16), np.array([200] * 4, np.uint8), k) for k in (20, 30, 40)])[at::4]) for n, at in ((9, 2), (9, 3)))
+    assert len(rare) == len(after) == 1
+
+
+def test_lm_events_and_shares_come_back():
+    columns = [np.arange(5, dtype=np.uint8), np.array([0, 1, 256, 65_535, 7], np.uint16), np.array([0, 1 << 31, 3, 4, 5], np.uint32), np.array([0.5, -1, 3e9, 0, -0.25], np.float32)]
+    for n in (0, 5):
+        got = lm_scoring.unplaned(pa.py_buffer(lm_scoring.planes([c[:n] for c in columns])), ["u1", "<u2", "<u4", "<f4"])
+        assert [g.tolist() for g in got] == [c[:n].tolist() for c in columns]
+
+
 def test_lm_is_a_distribution_over_parts_of_classes():
     model = MaxEnt(rng.integers(0, 50, (CLASSES, GROUPS)).astype(float), 256)
     for w in model.weights:
