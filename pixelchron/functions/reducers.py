@@ -1,4 +1,4 @@
-"""Named reducers, and one aggregation for many of them over many bands."""
+"""Named reducers, one aggregation for many of them over many bands, and rounding."""
 
 from __future__ import annotations
 
@@ -17,6 +17,11 @@ ORDERED = {"first": F.min_by, "last": F.max_by}
 NAMES = [*SIMPLE, *ORDERED, *PERCENTILES]
 
 
+def round_half_away(c: Column, places: int) -> Column:
+    """A double rounded as C does it, on the scaled number; Spark's round goes by the shortest decimal text, which can fall to the other side of a half."""
+    return F.round(c * 10.0**places) / 10.0**places
+
+
 def check(reducers: list[str]) -> None:
     if unknown := [r for r in reducers if r not in NAMES]:
         raise ValueError(f"unknown reducers: {unknown}")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.indices import INDICES
+from ..functions.reducers import round_half_away
 from ..functions.times import doy0, ms
 from ..plans.folds import Fold, join_folds
 from ..schema import KEYS, OPTICAL
@@ -33,14 +34,17 @@ def composite_feature(df: DataFrame, feature: str, bands: list[str], keys: tuple
 
 
 def composite_nlcd(df: DataFrame, bands: list[str], keys: tuple[str, ...] = KEYS, folds: list[Fold] | None = None, ts: str = "ts", centre: tuple[str, ...] = OPTICAL) -> DataFrame:
-    """The observation nearest to the median of six bands (Jin 2023). Medians are one aggregation, joined back on the same keys."""
+    """The observation nearest to the median of six bands (Jin 2023). Medians are one aggregation, joined back on the same keys.
+
+    Scores are rounded to 12 places: two observations as far from the median on either side tie, whatever the last bits of their differences.
+    """
     rows, groups = (df, [*keys]) if folds is None else (join_folds(df, folds, ts), [*keys, "fold_key"])
     medians = rows.groupBy(*groups).agg(*(F.median(b).alias(f"_m_{b}") for b in centre))
     score = F.lit(0.0)
     for b in centre:
         d = F.col(b) - F.col(f"_m_{b}")
         score = score - d * d
-    rows = rows.join(medians, groups).withColumn("SCORE", score).drop(*(f"_m_{b}" for b in centre))
+    rows = rows.join(medians, groups).withColumn("SCORE", round_half_away(score, 12)).drop(*(f"_m_{b}" for b in centre))
     return best_pixel(rows, "SCORE", bands, groups, ts)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import indices
-from .functions.reducers import reduce_bands
+from .functions.reducers import reduce_bands, round_half_away
 from .functions.times import calendar, cyclic_between, ms, yyyymmdd
 from .operators import composite, export, interpolation, masking, model, phenology, series, spatial
 from .operators.unmix import unmix as unmix_bands
@@ -39,7 +39,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*((F.round(F.col(c) + 1e-10, places) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+    return df.select(*((round_half_away(F.col(c) + 1e-10, places) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
 
 
 def R(x: str, name: str = "", places: int = 6) -> str:

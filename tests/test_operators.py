@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelchron.functions import indices
-from pixelchron.functions.reducers import reduce_bands, split_name
+from pixelchron.functions.reducers import reduce_bands, round_half_away, split_name
 from pixelchron.operators import composite, export, interpolation, masking, model, phenology, series, spatial
 from pixelchron.operators.unmix import best_subset, non_negative_fractions, unmix
 from pixelchron.schema import MS_DAY
@@ -286,3 +286,19 @@ def test_array_kernels_equal_long_form(spark, kernels):
         return sum(w * v for w, (v, _) in zip(weights, out, strict=True) if v is not None) / total if total else -9999.0
 
     assert got == pytest.approx([plain(t) for t in (0, 10, 20, 30, 70)])
+
+
+def test_nlcd_ties_go_to_the_earliest(spark):
+    """Two observations are as far from their median; the last bits of the differences favour the later one, as (0.45 - 0.475) ** 2 < (0.5 - 0.475) ** 2."""
+    rows = [(0, 0, i, t, 0.1, 0.1, 0.1, nir, 0.1, 0.1) for i, t, nir in (("early", "2020-01-01", 0.5), ("late", "2020-01-02", 0.45))]
+    df = spark.createDataFrame(rows, "px int, py int, scene_id string, ts string, BLU double, GRN double, RED double, NIR double, SW1 double, SW2 double").withColumn("ts", F.to_timestamp("ts"))
+    got = composite.composite_nlcd(df, ["NIR"]).collect()
+    assert [(r["scene_id"], r["SCORE"]) for r in got] == [("early", -0.000625)]
+
+
+def test_rounding_as_sql_does(spark):
+    import duckdb
+
+    values = [8318.8703555, 8396.8484445, -8318.8703555, 0.5, 2.5, 1e-7, None]
+    got = [r["r"] for r in spark.createDataFrame([(v,) for v in values], "x double").select(round_half_away(F.col("x"), 6).alias("r")).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
