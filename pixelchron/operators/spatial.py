@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.reducers import reduce_bands
@@ -141,35 +142,92 @@ def _written(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist(StorageLevel.DISK_ONLY)
 
 
+# A cell of the nearest search is split further while it holds more distinct centres or more points than these; DEPTH halvings end it for those closer than doubles tell apart.
+LEAF_CENTRES, LEAF_POINTS, DEPTH = 16, 2048, 40
+
+
+def _candidates(points: DataFrame, centres: DataFrame, cell: float) -> DataFrame | None:
+    """Points (_id, x, y) with _near, the centres (x, y, _c) of which one is the nearest; none without points or centres. See nearest."""
+    if points.isEmpty() or centres.isEmpty():
+        return None
+    span = points.select("x", "y").unionByName(centres.select("x", "y")).agg(*(f(a) for a in "xy" for f in (F.min, F.max))).first()
+    low, widest = {"x": span[0], "y": span[2]}, float(cell)
+    reach = max(span[1] - span[0], span[3] - span[2])
+    while widest <= reach:
+        widest *= 2
+    while widest > 4 * reach > 0:
+        widest /= 2
+
+    def place(a: str, level: int) -> Column:
+        return F.floor((F.col(a) - low[a]) / (widest / 2**level))
+
+    def cells(df: DataFrame, side: str, level: int) -> DataFrame:
+        """Cells of a level, i and j, with the bounds and the number of what they hold."""
+        bounds = (f(a).alias(f"{side}{a}{n}") for a in "xy" for n, f in enumerate((F.min, F.max)))
+        return df.groupBy(place("x", level).alias(f"{side}i"), place("y", level).alias(f"{side}j")).agg(*bounds, F.count(F.lit(1)).alias(f"{side}n")).withColumn(f"{side}l", F.lit(level))
+
+    def wide(side: str, most: int) -> Column:
+        return (F.col(f"{side}n") > most) & ((F.col(f"{side}x0") < F.col(f"{side}x1")) | (F.col(f"{side}y0") < F.col(f"{side}y1")))
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        """Pairs that can hold a nearest centre, and whether their point cell has to be split."""
+        least = [F.greatest(F.lit(0.0), F.col(f"p{a}0") - F.col(f"c{a}1"), F.col(f"c{a}0") - F.col(f"p{a}1")) for a in "xy"]
+        most = [F.greatest(F.col(f"p{a}1") - F.col(f"c{a}0"), F.col(f"c{a}1") - F.col(f"p{a}0")) for a in "xy"]
+        own = Window.partitionBy("pi", "pj")
+        pairs = pairs.withColumn("_most", F.min(most[0] * most[0] + most[1] * most[1]).over(own)).filter(least[0] * least[0] + least[1] * least[1] <= F.col("_most") * (1 + 1e-9)).drop("_most")
+        return pairs.withColumn("cs", wide("c", LEAF_CENTRES)).withColumn("ps", F.max(F.col("cs") | wide("p", LEAF_POINTS)).over(own))
+
+    ends, level = [], 0
+    pairs = judged(cells(points, "p", 0).crossJoin(cells(centres, "c", 0)))
+    while True:
+        pairs = _written(pairs)
+        split = pairs.filter("ps")
+        if level == DEPTH or split.isEmpty():
+            ends.append(pairs)
+            break
+        ends.append(pairs.filter("not ps"))
+        level += 1
+        inner, outer = cells(points, "p", level), cells(centres, "c", level)
+        split = split.select(F.col("pi").alias("_pi"), F.col("pj").alias("_pj"), "cs", *(c for c in pairs.columns if c[0] == "c" and c != "cs"))
+        split = split.join(inner, (F.shiftright("pi", 1) == F.col("_pi")) & (F.shiftright("pj", 1) == F.col("_pj"))).drop("_pi", "_pj")
+        halves = split.filter("cs").select(F.col("ci").alias("_ci"), F.col("cj").alias("_cj"), *inner.columns)
+        halves = halves.join(outer, (F.shiftright("ci", 1) == F.col("_ci")) & (F.shiftright("cj", 1) == F.col("_cj"))).drop("_ci", "_cj")
+        pairs = judged(split.filter("not cs").drop("cs").unionByName(halves))
+    left = reduce(DataFrame.unionByName, ends)
+
+    def at_levels(df: DataFrame, side: str) -> DataFrame:
+        """Rows with their cells of each level that has ends."""
+        levels = sorted(r[0] for r in left.select(f"{side}l").distinct().collect())
+        return df.withColumn("_o", F.explode(F.array(*(F.struct(F.lit(n).alias("l"), place("x", n).alias("i"), place("y", n).alias("j")) for n in levels)))).select(*df.columns, *(F.col(f"_o.{k}").alias(f"{side}{k}") for k in "lij"))
+
+    near = left.select("pl", "pi", "pj", "cl", "ci", "cj").join(at_levels(centres, "c"), ["cl", "ci", "cj"]).groupBy("pl", "pi", "pj").agg(F.collect_list(F.struct("x", "y", "_c")).alias("_near"))
+    return at_levels(points, "p").join(near, ["pl", "pi", "pj"]).select("_id", "x", "y", "_near")
+
+
 def nearest(points: DataFrame, centres: DataFrame, point_key: str = "id", centre_key: str = "block", cell: float = 1.0) -> DataFrame:
-    """For each point (x, y) the nearest centre (x, y) and the distance; of equals the smallest centre. Points and centres without both coordinates take no part.
+    """For each point (x, y) the nearest centre (x, y) and the distance; of equals the smallest centre. Points and centres without both coordinates, or with infinite ones, take no part.
 
-    Centres are gathered in cells; a point looks into its own and the neighbouring cells, and only points that find none within a cell's width
-    go on to a round with cells twice as wide. Cells as wide as all coordinates span end it.
+    Points and centres lie in cells of equal width, cell times a power of two. Beginning with one that holds all, a pair of cells is split on both
+    sides while either holds many, and a pair goes as soon as another centre cell is sure to be nearer to all points of its cell, by the bounds of what the cells
+    hold. So a point meets the few centres of the cells that are left, however many centres there are and however they crowd; centres at one place count once.
     """
 
     def placed(df: DataFrame) -> DataFrame:
-        return df.filter(~F.isnan(F.col("x").cast("double")) & ~F.isnan(F.col("y").cast("double")))
-
-    points, centres, out = placed(points), placed(centres), None
-    left = points.select(point_key, F.col("x").alias("_x"), F.col("y").alias("_y"))
-    none = left.select(point_key).limit(0).withColumns({centre_key: F.lit(None).cast(centres.schema[centre_key].dataType), "distance": F.lit(None).cast("double")})
-    span = points.select("x", "y").unionByName(centres.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    if span[0] is None or centres.isEmpty():
-        return none
-    widest, offsets = max(map(float, span)) + cell, F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
-    while True:
-        spread = left.select("*", F.explode(offsets).alias("_o"))
-        spread = spread.select(point_key, "_x", "_y", (F.floor(F.col("_x") / cell) + F.col("_o.dx")).alias("_cx"), (F.floor(F.col("_y") / cell) + F.col("_o.dy")).alias("_cy"))
-        held = centres.select(F.col(centre_key).alias("_c"), "x", "y", F.floor(F.col("x") / cell).alias("_cx"), F.floor(F.col("y") / cell).alias("_cy"))
-        dx, dy = F.col("_x") - F.col("x"), F.col("_y") - F.col("y")
-        found = spread.join(held, ["_cx", "_cy"]).groupBy(point_key).agg(F.min(F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), F.col("_c").alias("c"))).alias("m"))
-        found = _written(found.filter(F.col("m.d") <= cell).select(point_key, F.col("m.c").alias(centre_key), F.col("m.d").alias("distance")))
-        out = found if out is None else out.unionByName(found)
-        left = _written(left.join(found.select(point_key), point_key, "left_anti"))
-        if cell > 2 * widest or left.isEmpty():
-            return out
-        cell *= 2
+        return df.withColumns({a: F.col(a).cast("double") for a in "xy"}).filter((F.abs("x") < math.inf) & (F.abs("y") < math.inf))
+
+    kind = centres.schema[centre_key].dataType
+    points = _written(placed(points).select(F.col(point_key).alias("_id"), "x", "y"))
+    centres = _written(placed(centres).groupBy("x", "y").agg(F.min(centre_key).alias("_c")))
+    rows = _candidates(points, centres, cell)
+    if rows is None:
+        return points.limit(0).select(F.col("_id").alias(point_key), F.lit(None).cast(kind).alias(centre_key), F.lit(None).cast("double").alias("distance"))
+
+    def reached(c: Column) -> Column:
+        dx, dy = F.col("x") - c["x"], F.col("y") - c["y"]
+        return F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), c["_c"].alias("c"))
+
+    found = rows.select("_id", F.array_min(F.transform("_near", reached)).alias("m"))
+    return found.groupBy("_id").agg(F.min("m").alias("m")).select(F.col("_id").alias(point_key), F.col("m.c").alias(centre_key), F.col("m.d").alias("distance"))
 
 
 def chunk_points(points: DataFrame, size: float = 10_000, least: int = 10) -> DataFrame:

@@ -302,3 +302,18 @@ def test_rounding_as_sql_does(spark):
     values = [8318.8703555, 8396.8484445, -8318.8703555, 0.5, 2.5, 1e-7, None]
     got = [r["r"] for r in spark.createDataFrame([(v,) for v in values], "x double").select(round_half_away(F.col("x"), 6).alias("r")).collect()]
     assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+
+
+def test_nearest_of_crowded_centres_meets_few(spark):
+    """Centres crowd in a millionth of the area, others share a place: results are those of all pairs, though no point meets more than a small part of them."""
+    rng = np.random.default_rng(4)
+    places = np.concatenate([rng.random((300, 2)) * 1000, 500 + rng.random((300, 2)), np.repeat(rng.random((3, 2)) * 1000, 100, axis=0)])
+    asked = np.concatenate([rng.random((200, 2)) * 1000, 500 + rng.random((200, 2)), [[499.0, 1e6]]])
+    centres = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(places)], "_c long, x double, y double")
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(asked)], "_id long, x double, y double")
+    all_pairs = np.hypot(asked[:, None, 0] - places[None, :, 0], asked[:, None, 1] - places[None, :, 1])
+    got = {r["id"]: (r["block"], r["distance"]) for r in spatial.nearest(points.withColumnRenamed("_id", "id"), centres.withColumnRenamed("_c", "block"), cell=40.0).collect()}
+    assert {i: b for i, (b, _) in got.items()} == dict(enumerate(all_pairs.argmin(axis=1)))
+    assert [got[i][1] for i in range(len(asked))] == pytest.approx(list(all_pairs.min(axis=1)))
+    met = spatial._candidates(points.repartition(2), centres.dropDuplicates(["x", "y"]), 40.0).agg(F.count("_id"), F.max(F.size("_near")), F.avg(F.size("_near"))).first()
+    assert met[0] == len(asked) and met[1] < 300 and met[2] < 90
