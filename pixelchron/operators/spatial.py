@@ -261,10 +261,15 @@ def overview(df: DataFrame, bands: list[str], factor: int) -> DataFrame:
     return df.groupBy(F.floor(F.col("px") / factor).alias("px"), F.floor(F.col("py") / factor).alias("py")).agg(*(F.avg(b).alias(b) for b in bands))
 
 
+# Targets that one task of a resampling sums on average, and the side of the blocks of targets that are dealt to tasks.
+TASK_TARGETS, BLOCK = 500_000, 128
+
+
 def resample(df: DataFrame, bands: list[str], factor: float, method: str = "bilinear") -> DataFrame:
     """Values on a grid factor times finer, at pixel centres; bilinear or bicubic weights of what is there, renormalised at the rim.
 
-    Each source pixel is spread to the targets it weighs on, so the work is one explode and one aggregation.
+    Each source pixel is sent to the blocks of targets it weighs on, then spread to the targets, and sums are taken in the block's task: one shuffle of source pixels.
+    Blocks are dealt to as many tasks as the number of pixels asks for (counted in the pass that finds the rim), so a task's sums stay as many however large the image is.
     """
     radius = {"bilinear": 1, "bicubic": 2}[method]
 
@@ -274,13 +279,19 @@ def resample(df: DataFrame, bands: list[str], factor: float, method: str = "bili
             return F.greatest(1 - t, F.lit(0.0))
         return F.when(t <= 1, 1.5 * t * t * t - 2.5 * t * t + 1).when(t < 2, -0.5 * t * t * t + 2.5 * t * t - 4 * t + 2).otherwise(0.0)
 
-    def spread(c: str) -> Column:
-        middle = (F.col(c) + 0.5) * factor - 0.5
-        return F.sequence(F.ceil(middle - radius * factor).cast("int"), F.floor(middle + radius * factor).cast("int"))
-
-    rows = df.withColumn("_tx", F.explode(spread("px"))).withColumn("_ty", F.explode(spread("py")))
+    n, *last = df.agg(F.count(F.lit(1)), F.max("px"), F.max("py")).first()
+    tasks = max(1, math.ceil(n * factor * factor / TASK_TARGETS))
+    rows = df.select("px", "py", *bands)
+    for a, most in zip("xy", last, strict=True):
+        middle = (F.col(f"p{a}") + 0.5) * factor - 0.5
+        end = math.ceil((most + 1) * factor) - 1 if most is not None else -1
+        rows = rows.withColumns({f"_a{a}": F.greatest(F.ceil(middle - radius * factor).cast("int"), F.lit(0)), f"_z{a}": F.least(F.floor(middle + radius * factor).cast("int"), F.lit(end))}).filter(F.col(f"_a{a}") <= F.col(f"_z{a}"))
+    for a in "xy":
+        rows = rows.withColumn(f"_b{a}", F.explode(F.sequence(F.floor(F.col(f"_a{a}") / BLOCK).cast("int"), F.floor(F.col(f"_z{a}") / BLOCK).cast("int"))))
+    rows = rows.repartition(tasks, "_bx", "_by")
+    for a in "xy":
+        rows = rows.withColumn(f"_t{a}", F.explode(F.sequence(F.greatest(F.col(f"_a{a}"), F.col(f"_b{a}") * BLOCK), F.least(F.col(f"_z{a}"), F.col(f"_b{a}") * BLOCK + BLOCK - 1))))
     w = weight((F.col("_tx") + 0.5) / factor - 0.5 - F.col("px")) * weight((F.col("_ty") + 0.5) / factor - 0.5 - F.col("py"))
     rows = rows.withColumn("_w", w).filter("_w <> 0")
-    out = rows.groupBy(F.col("_tx").alias("px"), F.col("_ty").alias("py")).agg(*(F.try_divide(F.sum(F.col(b) * F.col("_w")), F.sum(F.when(F.col(b).isNotNull(), F.col("_w")))).alias(b) for b in bands))
-    edge = df.agg(F.max("px"), F.max("py"))
-    return out.filter("px >= 0 and py >= 0").join(F.broadcast(edge.toDF("_mx", "_my").withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")).filter((F.col("px") < (F.col("_mx") + 1) * factor) & (F.col("py") < (F.col("_my") + 1) * factor)).drop("_mx", "_my", "_one")
+    out = rows.groupBy("_bx", "_by", "_tx", "_ty").agg(*(F.try_divide(F.sum(F.col(b) * F.col("_w")), F.sum(F.when(F.col(b).isNotNull(), F.col("_w")))).alias(b) for b in bands))
+    return out.select(F.col("_tx").alias("px"), F.col("_ty").alias("py"), *bands)

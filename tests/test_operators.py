@@ -317,3 +317,32 @@ def test_nearest_of_crowded_centres_meets_few(spark):
     assert [got[i][1] for i in range(len(asked))] == pytest.approx(list(all_pairs.min(axis=1)))
     met = spatial._candidates(points.repartition(2), centres.dropDuplicates(["x", "y"]), 40.0).agg(F.count("_id"), F.max(F.size("_near")), F.avg(F.size("_near"))).first()
     assert met[0] == len(asked) and met[1] < 300 and met[2] < 90
+
+
+@pytest.mark.parametrize("factor", [2, 1.5, 0.4])
+def test_resample_sums_in_the_task_of_a_block(spark, monkeypatch, factor):
+    """Over several blocks, with holes, values equal plain ones; only source pixels cross the shuffle, to more tasks where there are more pixels."""
+    monkeypatch.setattr(spatial, "BLOCK", 8)
+    monkeypatch.setattr(spatial, "TASK_TARGETS", 40)
+    cells = [(x, y, None if (x, y) == (4, 4) else float((x * 7 + y * 3) % 11)) for x in range(13) for y in range(9) if (x + y) % 5]
+    out = spatial.resample(spark.createDataFrame(cells, "px int, py int, value double"), ["value"], factor, "bicubic")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert out.rdd.getNumPartitions() == math.ceil(len(cells) * factor * factor / 40)
+
+    def weight(d):
+        t = abs(d)
+        return 1.5 * t**3 - 2.5 * t**2 + 1 if t <= 1 else -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2 if t < 2 else 0.0
+
+    want = {}
+    for tx in range(math.ceil(13 * factor)):
+        for ty in range(math.ceil(9 * factor)):
+            ws = [(weight((tx + 0.5) / factor - 0.5 - x) * weight((ty + 0.5) / factor - 0.5 - y), v) for x, y, v in cells]
+            if any(w for w, _ in ws):
+                total = sum(w for w, v in ws if v is not None)
+                want[tx, ty] = sum(w * v for w, v in ws if v is not None) / total if total else None
+    got = {(r["px"], r["py"]): r["value"] for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+def test_resample_of_nothing(spark):
+    assert spatial.resample(spark.createDataFrame([], "px int, py int, value double"), ["value"], 2).count() == 0
